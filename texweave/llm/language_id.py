@@ -118,13 +118,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least negative log-likelihood, by golden-section search."""
-    if not len(labels):
+    """The temperature of least negative log-likelihood, by golden-section search.
+
+    Targets are smoothed by one case in n + 2, else a sample without an error
+    would ask for a temperature of nought.
+    """
+    n, n_labels = logits.shape
+    if not n or n_labels < 2:
         return 1.0
+    target = np.full((n, n_labels), 1.0 / (n + 2) / (n_labels - 1))
+    target[np.arange(n), labels] = 1.0 - 1.0 / (n + 2)
 
     def loss(log_t: float) -> float:
-        p = softmax(logits / np.exp(log_t))
-        return float(-np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean())
+        z = logits / np.exp(log_t)
+        z = z - z.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)).mean())
 
     low, high, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from texweave.llm import language_id, prefix_bpe, quality_rules
+from texweave.llm import best_fit_packing, language_id, prefix_bpe, quality_rules
 from texweave.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -23,6 +27,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
@@ -31,8 +36,11 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
-e AS (SELECT r, len(ws) AS n, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(ws, i, i + 7)) AS c FROM e),
+x AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+e AS (SELECT r, i, concat_ws(' ', word, lead(word, 1) OVER q, lead(word, 2) OVER q, lead(word, 3) OVER q, lead(word, 4) OVER q,
+        lead(word, 5) OVER q, lead(word, 6) OVER q, lead(word, 7) OVER q) AS k, lead(word, 7) OVER q AS last
+      FROM x WINDOW q AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM e WHERE last IS NOT NULL),
 p AS (SELECT DISTINCT r, unnest(range(i, i + 8)) AS at FROM g WHERE c > 1),
 rep AS (SELECT r, count(*) AS n_repeat FROM p GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
