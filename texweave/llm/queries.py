@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from texweave.llm import best_fit_packing, dart_minhash, language_id, prefix_bpe, quality_rules
+from texweave.llm import best_fit_packing, bloom_lookup, dart_minhash, language_id, prefix_bpe, quality_rules
 from texweave.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lookup.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +36,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_dart_minhash": op6_dart_minhash,
+    "op7_bloom_lookup": op7_bloom_lookup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_prefix_bpe": op10_prefix_bpe,
