@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from texweave.llm import best_fit_packing, bloom_lookup, compact_windows, dart_minhash, language_id, prefix_bpe, quality_rules
+from texweave.llm import best_fit_packing, bloom_lookup, compact_windows, dart_minhash, html_template, language_id, link_graph, prefix_bpe, quality_rules
 from texweave.llm.common import table
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.passages(table(spark, sf_dir, "documents"))
 
 
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,9 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_template": op1_html_template,
     "op2_compact_windows": op2_compact_windows,
+    "op3_link_graph": op3_link_graph,
     "op5_quality_rules": op5_quality_rules,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_bloom_lookup": op7_bloom_lookup,
