@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from texweave.llm import best_fit_packing, bloom_lookup, compact_windows, dart_minhash, html_template, language_id, link_graph, prefix_bpe, quality_rules
+from texweave.llm import best_fit_packing, bloom_lookup, compact_windows, dart_minhash, html_template, language_id, link_graph, prefix_bpe, quality_rules, training_order
 from texweave.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_html_template": op1_html_template,
     "op2_compact_windows": op2_compact_windows,
     "op3_link_graph": op3_link_graph,
+    "op4_training_order": op4_training_order,
     "op5_quality_rules": op5_quality_rules,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_bloom_lookup": op7_bloom_lookup,
