@@ -65,7 +65,8 @@ def _combine(entries: Column) -> Column:
     def by_cell(s: Column) -> Column:
         def groups(starts: Column) -> Column:
             size = lambda at, i: F.coalesce(F.get(starts, i + 1), F.size(s) + 1) - at
-            return F.transform(starts, lambda at, i: _let(F.slice(s, at, size(at, i)), total))
+            # Most cells hold one entry once the sketch is large enough.
+            return F.transform(starts, lambda at, i: F.when(size(at, i) == 1, F.get(s, at - 1)).otherwise(_let(F.slice(s, at, size(at, i)), total)))
 
         starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["c"] != F.get(s, i - 2)["c"]))
         return F.filter(_let(starts, groups), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
@@ -73,6 +74,10 @@ def _combine(entries: Column) -> Column:
     return _let(F.array_sort(entries), lambda s: F.when(F.size(s) == 0, s).otherwise(by_cell(s)))
 
 
+def _adds(count: int, cells: Column) -> Callable[[Column], Column]:
+    return lambda digest: _entries(digest, F.lit(count), cells)
+
+
 def sketch(found: Column, cells: Column, count: int = 1) -> Column:
     """The sketch of a set of digests; ``count`` of -1 gives its negative."""
     return _combine(F.flatten(F.transform(found, lambda d: _entries(d, F.lit(count), cells))))
@@ -95,33 +100,40 @@ def _peel(difference: Column, cells: Column) -> Column:
     return _let(done, lambda d: F.when(F.size(d["cells"]) == 0, d["found"]))
 
 
-def difference(a: Column, b: Column) -> Column:
+def difference(a: Column, b: Column, a_sketch: Column, b_sketch: Column) -> Column:
     """The digests in just one of two sets, recovered by subtracting sketches and peeling.
 
-    Sketches grow fourfold until peeling succeeds. Only if none of RETRIES
-    sizes does (a pair of digests that share all cells every time) are the sets
-    compared as they are.
+    The sketches of CELLS cells are given; sketches of fourfold size follow
+    until peeling succeeds. Only if none of RETRIES sizes does (a pair of
+    digests that share all cells every time) are the sets compared as they are.
     """
-    none = F.lit(None).cast("array<struct<k:bigint,n:int>>")
+    negative = F.transform(b_sketch, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")))
+    at_once = _peel(_combine(F.concat(a_sketch, negative)), F.lit(CELLS).cast("long"))
 
     def attempt(known: Column, i: Column) -> Column:
         cells = (F.lit(CELLS) * F.pow(F.lit(float(GROWTH)), i)).cast("long")
-        return F.when(known.isNotNull(), known).otherwise(_let(cells, lambda m: _peel(_combine(F.concat(sketch(a, m), sketch(b, m, -1))), m)))
+        # One pass over both sets: sketches subtract entry by entry as well.
+        entries = lambda m: F.concat(*(F.flatten(F.transform(x, _adds(n, m))) for x, n in ((a, 1), (b, -1))))
+        return F.when(known.isNotNull(), known).otherwise(_let(cells, lambda m: _peel(_combine(entries(m)), m)))
 
-    peeled = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), none, attempt)
+    peeled = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES - 1)), at_once, attempt)
     plain = F.concat(F.array_except(a, b), F.array_except(b, a))
     return _let(peeled, lambda p: F.when(p.isNotNull(), F.transform(p, lambda x: x["k"])).otherwise(plain))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of digests from the size of their recovered difference; 1 for two empty sets."""
-    both = F.size(a) + F.size(b)
-    return _let(F.size(difference(a, b)), lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)))
+    """Jaccard similarity of two described texts (``set``, ``sketch``) from the size of their recovered difference; 1 for two empty ones."""
+    both = F.size(a["set"]) + F.size(b["set"])
+    return _let(F.size(difference(a["set"], b["set"], a["sketch"], b["sketch"])), lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)))
+
+
+def described(found: Column) -> Column:
+    """A set of digests with its sketch of CELLS cells."""
+    return F.struct(found.alias("set"), sketch(found, F.lit(CELLS).cast("long")).alias("sketch"))
 
 
-def fingerprint(found: Column) -> Column:
-    """The sketch of CELLS cells as text: ``cell:count:digests:checks`` in hexadecimal."""
-    cells = sketch(found, F.lit(CELLS).cast("long"))
+def fingerprint(cells: Column) -> Column:
+    """A sketch as text: ``cell:count:digests:checks`` in hexadecimal."""
     return F.array_join(F.transform(cells, lambda x: F.concat_ws(":", F.hex(x["c"]), F.hex(x["n"].cast("long")), F.hex(x["k"]), F.hex(x["h"]))), " ")
 
 
@@ -178,7 +190,8 @@ def compare(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.left("text", n - third), F.left("next_text", third))
     pairs = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), digests(F.col("next_text")).alias("next"))
     sets = pairs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), "next")
-    near = F.transform(F.array("changed", "next"), lambda other: likeness(F.col("own"), other))
-    prints = F.transform(F.array("own", "changed"), fingerprint)
-    told = sets.select("doc_id", "n_chars", "edited_sha256", prints.alias("prints"), near.alias("near"))
+    # One expression for all three texts, so that each sketch is made once.
+    three = sets.select("doc_id", "n_chars", "edited_sha256", F.transform(F.array("own", "changed", "next"), described).alias("x"))
+    near = _let(F.col("x"), lambda x: F.transform(F.slice(x, 2, 2), lambda other: likeness(F.get(x, F.lit(0)), other)))
+    told = three.select("doc_id", "n_chars", "edited_sha256", F.transform(F.slice("x", 1, 2), lambda t: fingerprint(t["sketch"])).alias("prints"), near.alias("near"))
     return told.select("doc_id", "n_chars", "edited_sha256", F.col("prints")[0].alias("fingerprint"), F.col("prints")[1].alias("edited_fingerprint"), F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))
