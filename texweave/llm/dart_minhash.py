@@ -32,8 +32,10 @@ from texweave.llm.graph import components
 BANDS, ROWS = 25, 5
 SIZE = 5
 SIMILARITY = 0.8
-#: Partners of a document within one bucket: the bucket's hub and so many neighbours.
+#: Buckets of so many members and one meet in all pairs; in larger ones each
+#: member meets the bucket's hub and CROWD_NEIGHBOURS others.
 NEIGHBOURS = 8
+CROWD_NEIGHBOURS = 2
 #: A larger bucket is dealt into parts of about this size; its hub serves all of them.
 BUCKET = 10_000
 LOWEST = -4  # the first rank cell ends at 2**LOWEST
@@ -175,9 +177,9 @@ def candidates(keyed: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of nodes that share a band's bucket, linear in the number of bucket members.
 
     Within a bucket every member meets the bucket's hub - the member whose
-    buckets are the most crowded over all bands - and the NEIGHBOURS before it,
-    in an order that differs from band to band. Buckets up to NEIGHBOURS + 1
-    thus meet in all pairs.
+    buckets are the most crowded over all bands, as an original's among its
+    edited copies are - and the members before it, in an order that differs
+    from band to band.
     """
     members = keyed.select("node", F.posexplode("keys").alias("band", "key"))
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -186,8 +188,8 @@ def candidates(keyed: DataFrame) -> DataFrame:
     hubs = members.join(fame, "node").groupBy("band", "key").agg(F.max(F.struct("fame", "node"))["node"].alias("hub"))
     parts = members.withColumn("part", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / BUCKET)))
     inside = Window.partitionBy("band", "key", "part").orderBy(F.xxhash64("band", "node"), "node")
-    before = parts.select("node", F.array(*(F.lag("node", k).over(inside) for k in range(1, NEIGHBOURS + 1))).alias("before"))
-    near = before.select("node", F.explode("before").alias("other"))
+    before = parts.select("node", "size", F.array(*(F.lag("node", k).over(inside) for k in range(1, NEIGHBOURS + 1))).alias("before"))
+    near = before.select("node", F.explode(F.when(F.col("size") <= NEIGHBOURS + 1, F.col("before")).otherwise(F.slice("before", 1, CROWD_NEIGHBOURS))).alias("other"))
     starred = members.join(hubs, ["band", "key"]).select("node", F.col("hub").alias("other"))
     pairs = near.filter("other is not null").union(starred).filter("node <> other")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -226,12 +228,11 @@ def links(nodes: DataFrame, named: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links, copy_of``: one row per row of ``docs``.
+    """``doc_id, class_id, copy_of``: one row per row of ``docs``.
 
     ``class_id`` is the smallest ``doc_id`` of the documents connected by links
-    of ``similarity`` or more; ``copy_of`` the smallest with the same text;
-    ``n_links`` counts verified links of the text to different texts. Null texts
-    count as empty; texts without a word link only to equal texts. Repeated rows
+    of ``similarity`` or more; ``copy_of`` the smallest with the same text. Null
+    texts count as empty; texts without a word link only to equal texts. Repeated rows
     share their class. Other columns are ignored; an empty table gives an empty
     result.
     """
@@ -239,13 +240,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     described = cut(named.select("doc_id", "node", F.col("text").cast("binary").alias("raw")).mapInArrow(_describe, "doc_id long, node string, keys array<long>, sketch binary"))
     nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     found = cut(links(nodes, named, similarity))
-    ends = found.select(F.col("a").alias("node")).union(found.select("b"))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = components(found).join(degree, "node")
+    joined = components(found)
     facts = nodes.select("node", "copy_of").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
     lowest = facts.groupBy("class").agg(F.min("copy_of").alias("class_id"))
-    facts = facts.join(lowest, "class").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_of")
-    return described.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "n_links", "copy_of")
+    facts = facts.join(lowest, "class").select("node", "class_id", "copy_of")
+    return described.select("doc_id", "node").join(facts, "node").select("doc_id", "class_id", "copy_of")
 
 
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
