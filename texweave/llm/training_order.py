@@ -34,6 +34,8 @@ SHARD_SLOTS, MOST_SHARDS = 16_384, 50_000
 #: Records that are packed into one row of a shard.
 BLOCK = 256
 RECORD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("ids", "<u2", STRIDE)])
+#: Writers hold a row group in memory.
+SMALL_GROUPS = {"parquet.block.size": 16 << 20}
 BLOCKS = "shard long, shard_slots long, first_slot long, records int, payload binary"
 U = np.uint64
 
@@ -78,6 +80,11 @@ def trace(slot: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "piece", "packed"])
+
+
 def _cut(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pack = word_tokens(tokenizer_path), zstandard.ZstdCompressor(1)
@@ -89,8 +96,10 @@ def _cut(tokenizer_path: str):
                     raise ValueError("records hold 16-bit ids; the vocabulary is larger")
                 ids = ids.astype("<u2")
                 rows += [(doc_id, k, pack.compress(ids[at : at + STRIDE].tobytes())) for k, at in enumerate(range(0, len(ids), STRIDE))]
-            columns = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "piece", "packed"])
+                if len(rows) >= 4000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
 
     return run
 
@@ -131,7 +140,7 @@ def materialise(docs: DataFrame, path: str, tokenizer_path: str, key: int = KEY,
     spark = docs.sparkSession
     stage = f"{path}-sequences"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(tokenizer_path), "doc_id long, piece int, packed binary")
-    rows.withColumn("at", F.monotonically_increasing_id()).write.option("compression", "uncompressed").parquet(stage)
+    rows.withColumn("at", F.monotonically_increasing_id()).write.options(compression="uncompressed", **SMALL_GROUPS).parquet(stage)
     try:
         staged = spark.read.schema("doc_id long, piece int, packed binary, at long").parquet(stage)
         sizes = staged.groupBy(F.shiftright("at", 33).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").toPandas()  # a row per partition
@@ -153,45 +162,44 @@ def materialise(docs: DataFrame, path: str, tokenizer_path: str, key: int = KEY,
         ranges = placed.repartitionById(-(-n // slots), F.col("shard").cast("int")).sortWithinPartitions("slot")
         blocks = ranges.select("shard", "slot", "doc_id", "piece", "packed").mapInArrow(_write_blocks, "shard long, first_slot long, records int, payload binary")
         blocks = blocks.select("shard", F.lit(slots).cast("long").alias("shard_slots"), "first_slot", "records", "payload")
-        blocks.write.option("compression", "zstd").parquet(path)
+        blocks.write.options(compression="zstd", **SMALL_GROUPS).parquet(path)
         return n
     finally:
         target = spark._jvm.org.apache.hadoop.fs.Path(stage)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def read(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
+def read(spark: SparkSession, path: str, first_slot: int = 0, digests: bool = False) -> DataFrame:
     """``slot, shard, offset, doc_id, piece, length, ids`` of the sequences from ``first_slot`` on.
 
     ``offset`` is the record's byte in its shard. Blocks before the slot are
-    skipped by their statistics.
+    skipped by their statistics. ``digests`` gives ``ids_crc32`` (of the ids as
+    little-endian 32-bit integers) in place of the ids.
     """
+    last, kind = ("ids_crc32", "long") if digests else ("ids", "array<int>")
+
+    def told(record: np.ndarray) -> int | np.ndarray:
+        ids = record["ids"][: abs(int(record["length"]))]
+        return zlib.crc32(ids.astype("<u4").tobytes()) if digests else ids.astype(np.int32)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first, lowest, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                found = np.frombuffer(payload, RECORD)
-                slot = first + np.arange(len(found))
-                ids = [r["ids"][: abs(int(r["length"]))].astype(np.int32) for r in found]
+            for shard, first, lowest, payload in zip(*batch.columns):
+                found = np.frombuffer(payload.as_py(), RECORD)
+                slot = first.as_py() + np.arange(len(found))
                 doc_id = pa.array(found["doc_id"], mask=found["length"] < 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(np.full(len(found), shard)), pa.array((slot - lowest) * RECORD.itemsize), doc_id, pa.array(found["piece"]), pa.array(np.abs(found["length"])), pa.array(ids, pa.list_(pa.int32()))],
-                    names=["slot", "shard", "offset", "doc_id", "piece", "length", "ids"],
+                    [pa.array(slot), pa.array(np.full(len(found), shard.as_py())), pa.array((slot - lowest.as_py()) * RECORD.itemsize), doc_id, pa.array(found["piece"]), pa.array(np.abs(found["length"])), pa.array(list(map(told, found)), pa.int64() if digests else pa.list_(pa.int32()))],
+                    names=["slot", "shard", "offset", "doc_id", "piece", "length", last],
                 )
 
     blocks = spark.read.schema(BLOCKS).parquet(path)
     wanted = blocks.filter(F.col("first_slot") > first_slot - BLOCK).select("shard", "first_slot", (F.col("shard") * F.col("shard_slots")).alias("lowest"), "payload")
-    return wanted.mapInArrow(records, "slot long, shard long, offset long, doc_id long, piece int, length int, ids array<int>").filter(F.col("slot") >= first_slot)
+    return wanted.mapInArrow(records, f"slot long, shard long, offset long, doc_id long, piece int, length int, {last} {kind}").filter(F.col("slot") >= first_slot)
 
 
 def order(docs: DataFrame, tokenizer_path: str, key: int = KEY) -> DataFrame:
     """Every sequence of ``docs`` as the written shards hold it: ``slot, shard, offset, doc_id, piece, length, ids_crc32``."""
-    spark = docs.sparkSession
-    path = f"{checkpoint_dir(spark)}/order-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(docs.sparkSession)}/order-{uuid.uuid4().hex}"
     materialise(docs, path, tokenizer_path, key)
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
-
-    return read(spark, path).withColumn("ids_crc32", crc("ids")).drop("ids")
+    return read(docs.sparkSession, path, digests=True)
