@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 import numpy as np
@@ -33,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that only lineage before a cut still held.
+
+    Spark deletes them when the driver collects its garbage, which it may not
+    do for long; between phases that each shuffle much, this asks for it.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
