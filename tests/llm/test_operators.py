@@ -142,8 +142,9 @@ def brute_quality(text):
 
 def test_quality_rules(spark, odd, empty):
     rnd = random.Random(4)
-    part = prose(rnd, 9)
-    texts = [prose(rnd, 60), part + " x " + part + " " + part, "a b c d e f g h " * 4, "WORD! " * 40, "w# " * 30, "line one two\n" * 9, *ODD]
+    words = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(3, 9))) for _ in range(n))
+    part = words(9)
+    texts = [words(60), part + " x " + part + " " + part, "a b c d e f g h " * 4, "WORD! " * 40, "w# " * 30, "line one two\n" * 9, *ODD]
     got = {r["doc_id"]: r for r in quality_rules.judge(documents(spark, list(enumerate(texts)))).collect()}
     for i, t in enumerate(texts):
         r = got[i]
