@@ -41,8 +41,8 @@ RULES = (
 DAMPING = 0.85
 TOLERANCE = 1e-4
 MAX_ROUNDS = 30
-#: Share of all distrust, times the number of hosts, from which a host is blocked.
-THRESHOLD = 1.0
+#: Share of all distrust, times the number of hosts that have a score, from which a host is blocked.
+THRESHOLD = 0.5
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -76,27 +76,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``host, score``: personalised PageRank over ``src, dst, n`` from ``seeds`` (``host, weight``).
 
-    Votes that a host without links would pass on return to the seeds. Hosts
-    that no seed reaches are not in the result. Every round is cut.
+    Scores sum to 1: what hosts without links would pass on returns to the
+    seeds, which scaling at the end does as well. Hosts that no seed reaches
+    are not in the result. Every round is cut.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.sparkSession.createDataFrame([], "host string, score double")
-    home = cut(seeds.groupBy("host").agg((F.sum("weight") / total).alias("home")))
+    home = cut(seeds.groupBy("host").agg((F.sum("weight") / total * (1 - damping)).alias("home")))
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    votes = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
+    votes = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all") * damping).alias("share")))
     scores = home.select("host", F.col("home").alias("score"))
     for _ in range(max_rounds):
-        passed = scores.join(votes, scores["host"] == votes["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("passed"))
-        moved = cut(passed)
-        back = 1.0 - (moved.agg(F.sum("passed")).first()[0] or 0.0)
-        last = scores.withColumnRenamed("score", "was")
-        now = moved.join(home, "host", "full").select("host", (F.coalesce("passed", F.lit(0.0)) + F.coalesce("home", F.lit(0.0)) * back).alias("score"))
-        both = cut(now.join(last, "host", "full").select("host", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("was", F.lit(0.0)).alias("was")))
+        passed = scores.join(votes, scores["host"] == votes["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("passed"))
+        now = passed.join(home, "host", "full").select("host", (F.coalesce("passed", F.lit(0.0)) + F.coalesce("home", F.lit(0.0))).alias("score"))
+        both = cut(now.join(scores.withColumnRenamed("score", "was"), "host", "left").select("host", "score", F.coalesce("was", F.lit(0.0)).alias("was")))
         scores = both.select("host", "score")
         if both.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] <= tolerance:
             break
-    return scores
+    return scores.select("host", (F.col("score") / scores.agg(F.sum("score")).first()[0]).alias("score"))
 
 
 def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, trusted: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
