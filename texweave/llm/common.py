@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable
 
 import numpy as np
@@ -38,10 +39,14 @@ def release(spark: SparkSession) -> None:
     """Lets go of shuffle files that only lineage before a cut still held.
 
     Spark deletes them when the driver collects its garbage, which it may not
-    do for long; between phases that each shuffle much, this asks for it.
+    do for long; between phases that each shuffle much, this asks for it. The
+    first round lets go of what Python holds, which reaches the driver's JVM
+    later, so that only a second one frees it there.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
 
 
 class WordHashes(dict):
