@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from texweave.llm.common import cut
+from texweave.llm.common import cut, trimmed
 from texweave.llm.word_tokens import word_tokens
 
 CAPACITY = 4096
@@ -176,6 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     ``capacity`` ids. Null texts count as empty: a piece of the end id alone.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
         for batch in batches:
@@ -237,6 +238,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, capacity:
     Takes rows whose ``doc_id`` is unique.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
         for batch in batches:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,3 +92,32 @@ def texts(column) -> Iterable[str]:
     """Values of an Arrow string column; null counts as the empty text."""
     for value in column:
         yield value.as_py() or ""
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def trim() -> None:
+    """Gives memory that this Python process holds without use back to the system.
+
+    Executors keep their Python workers for the tasks to come, of any
+    operator; without this each stays as large as its largest task.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with ``trim`` at the end of each task."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return task

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from texweave.llm.common import WordHashes, cut, mix, shingles
+from texweave.llm.common import WordHashes, cut, mix, shingles, trimmed
 from texweave.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -130,6 +130,7 @@ def runs(text: bytes, hashes: WordHashes, size: int = SIZE) -> np.ndarray:
     return np.unique(shingles(of, size))
 
 
+@trimmed
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket keys (one per band) and the sketch of each text; no key for a text without a word."""
     hashes = WordHashes()
@@ -147,6 +148,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "node", "keys", "sketch"])
 
 
+@trimmed
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word runs of each text as sorted 32-bit hashes."""
     hashes = WordHashes()

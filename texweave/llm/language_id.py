@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texweave.llm.common import trim, trimmed
+
 UNKNOWN = "und"
 
 
@@ -148,6 +150,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     """
     labelled = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
 
+    @trimmed
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(settings.buckets, np.int64), 0
         for batch in batches:
@@ -170,6 +173,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     if chosen is None:
         return Model((), np.zeros((0, settings.buckets)), np.zeros(0), idf, 1.0, settings)
 
+    @trimmed
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ngram_counts(x.as_py(), settings) if has_letter(x.as_py()) else (np.empty(0, np.int64),) * 2 for x in batch.column(2)]
@@ -213,8 +217,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def language(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([predict_text(shared.value, x) for x in text], columns=["lang_pred", "score"])
+    def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            yield pd.DataFrame([predict_text(shared.value, x) for x in text], columns=["lang_pred", "score"])
+        trim()
 
     return docs.withColumn("_language", language(F.col("text").cast("string")))
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from texweave.llm.common import trim, trimmed
+
 #: Characters that count as symbols, a fixed value of the contract.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -173,6 +175,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     ranked = order(estimate(docs, rules), rules)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -196,7 +199,9 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ranked = order(estimate(docs, rules), rules)
 
     @F.pandas_udf("boolean")
-    def passes(raw: pd.Series) -> pd.Series:
-        return pd.Series([first_rejection(TextView(bytes(x) if x is not None else None), ranked) is None for x in raw], dtype=bool)
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for raw in batches:
+            yield pd.Series([first_rejection(TextView(bytes(x) if x is not None else None), ranked) is None for x in raw], dtype=bool)
+        trim()
 
     return docs.filter(passes(F.col("text").cast("binary")))
