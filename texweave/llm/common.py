@@ -55,7 +55,7 @@ def release(spark: SparkSession) -> None:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -26,7 +26,7 @@ NONE = np.int32(2**31 - 1)
 
 class WordTokens:
     #: Chunks remembered (besides those of the texts in work), and the longest of them.
-    LIMIT = 500_000
+    LIMIT = 250_000
     LONG = 48
     #: Characters of the texts that are worked on together.
     VOLUME = 2_000_000
