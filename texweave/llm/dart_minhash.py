@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 #: Buckets of so many members and one meet in all pairs; in larger ones each
 #: member meets the bucket's hub and CROWD_NEIGHBOURS others.
 NEIGHBOURS = 8
-CROWD_NEIGHBOURS = 2
+CROWD_NEIGHBOURS = 8
 #: A larger bucket is dealt into parts of about this size; its hub serves all of them.
 BUCKET = 10_000
 LOWEST = -4  # the first rank cell ends at 2**LOWEST
