@@ -87,6 +87,20 @@ def test_repeated_passages(spark, odd, empty):
     assert compact_windows.passages(empty).count() == 0
 
 
+def test_repeats_of_middle_texts(spark):
+    """A part of the passage in the first and the last text hides no repeat between the others."""
+    rnd = random.Random(12)
+    passages = [prose(rnd, 50).split() for _ in range(12)]
+    rows = []
+    for n, passage in enumerate(passages):
+        for k in range(6):
+            part = passage[5:45] if k in (0, 5) else passage
+            rows.append((10 * n + k, " ".join([prose(rnd, 30), *part, prose(rnd, 30)])))
+    found = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"]} for r in compact_windows.spans(compact_windows.passages(documents(spark, rows))).collect()}
+    tied = sum(any(a <= 30 and b >= 80 for a, b in found.get(10 * n + k, ())) for n in range(12) for k in (2, 3, 4))
+    assert tied == 36
+
+
 def test_url_rules_and_links(spark):
     urls = ["https://a.EXAMPLE.com/en/70?x", "http://com/en/", "http://x.com/fr", "http://example.net/de/8#q", "http://b.net/de/1", "nothing", None, "http://acom/en/", "http://y.org/es/z", "http://h.com?/en/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("rule", F.lit(1))
