@@ -170,6 +170,31 @@ def test_metrics(spark):
     assert got == {str(i): distance(p.split(), r.split()) for i, (p, r) in enumerate(rows)}
 
 
+def test_edit_distance_queries_take_whole_texts(spark, tmp_path):
+    """Differences after token 40 count, in both queries."""
+    from texweave.plans import catalog
+
+    rnd = random.Random(7)
+    turns = [rnd.choices("abcdefgh", k=n) for n in (60, 75, 41, 120, 0, 299)]
+    turns.append(turns[-1][:250] + ["z"] * 49)
+    spark.createDataFrame([(1, i, "user", " ".join(t)) for i, t in enumerate(turns)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    want = [distance(a, b) for a, b in zip(turns, turns[1:])]
+    got = {r["pair_id"]: r["distance"] for r in catalog.token_edit_distance(spark, str(tmp_path)).collect()}
+    assert got == {f"1:{i}": d for i, d in enumerate(want)}
+    mean = sum(d / max(len(a), len(b), 1) for d, a, b in zip(want, turns, turns[1:])) / len(want)
+    assert catalog.mean_normalized_edit_distance(spark, str(tmp_path)).first()[0] == pytest.approx(mean, abs=1e-9)
+
+
 def solid(w, h, value=255):
     return np.dstack([np.full((h, w, 3), value, np.uint8), np.full((h, w), 255, np.uint8)])
 

@@ -338,12 +338,12 @@ ed AS (SELECT pair_id, greatest(len(p), len(r), 1) AS most, levenshtein(array_to
 
 @query(f"WITH {EDIT} SELECT pair_id, distance::INT AS distance FROM ed")
 def token_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    return views.pairs(spark, d, views.PAIR_TOKENS).select("pair_id", metrics.edit_distance(F.col("p"), F.col("r")).alias("distance"))
+    return views.pairs(spark, d).select("pair_id", metrics.edit_distance(F.col("p"), F.col("r")).alias("distance"))
 
 
 @query(f"WITH {EDIT} SELECT round(avg(distance::DOUBLE / most), 9) AS distance FROM ed")
 def mean_normalized_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    return views.pairs(spark, d, views.PAIR_TOKENS).agg(F.round(F.avg(metrics.normalized_distance(F.col("p"), F.col("r"))), 9).alias("distance"))
+    return views.pairs(spark, d).agg(F.round(F.avg(metrics.normalized_distance(F.col("p"), F.col("r"))), 9).alias("distance"))
 
 
 # ---- rasters ---------------------------------------------------------------

@@ -11,7 +11,7 @@ from texweave.operators import policy as P
 
 VOCABULARY = Vocabulary.core()
 MAX_LENGTH = 1027
-#: Tokens of each side that the edit distance looks at.
+#: Tokens of each side that the oracle of the edit distances looks at; the queries look at all.
 PAIR_TOKENS = 40
 KEEP_DROP = P.Policy(MAX_LENGTH, "keep", "drop")
 DROP_DROP = P.Policy(MAX_LENGTH, "drop", "drop")
