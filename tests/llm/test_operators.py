@@ -191,6 +191,47 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert not dart_minhash.signature(np.empty(0, np.uint64)).any()
 
 
+def test_crowded_buckets_leave_no_document_apart(spark, monkeypatch):
+    """Hundreds of texts in one bucket, of which only scattered pairs are alike: classes as from all pairs."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 7)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for n in range(150):  # copies that differ from each other by more than the limit; one in three has a twin
+        text = list(base)
+        for k in rnd.sample(range(100), 5):
+            text[k] = f"e{n}_{k}"
+        rows.append((2 * n, " ".join(text)))
+        if n % 3 == 0:
+            text[rnd.randrange(100)] = f"t{n}"
+            rows.append((2 * n + 1, " ".join(text)))
+    docs = documents(spark, rows)
+    sets = {i: dart_minhash.runs(t.encode(), dart_minhash.WordHashes()) for i, t in rows}
+    named = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("node"))
+    # One bucket for all: signatures have nothing to say, so that pairs are left to the code under test.
+    sketch = {i: dart_minhash.signature(x).astype("<u2").tobytes() for i, x in sets.items()}
+    node = {r["doc_id"]: r["node"] for r in named.collect()}
+    nodes = spark.createDataFrame([(node[i], i, [1], bytearray(sketch[i])) for i in sets], "node string, copy_of long, keys array<long>, sketch binary")
+    got = {r["node"]: r["class"] for r in components(dart_minhash.links(nodes, named)).collect()}
+    group = {i: i for i in sets}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if a < b else 0
+            if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                group[root(b)] = root(a)
+    want, told = {}, {}
+    for i in sets:
+        want.setdefault(root(i), set()).add(i)
+        told.setdefault(got.get(node[i], node[i]), set()).add(i)
+    assert sorted(map(sorted, told.values())) == sorted(map(sorted, want.values())) and 100 < len(want) < 200
+
+
 def test_near_duplicates(spark, odd, empty):
     rnd = random.Random(6)
     rows, n = [], 0

@@ -38,6 +38,8 @@ NEIGHBOURS = 8
 CROWD_NEIGHBOURS = 8
 #: A larger bucket is dealt into parts of about this size; its hub serves all of them.
 BUCKET = 10_000
+#: Members of a bucket, outside its largest class, that meet one copy of the bucket.
+BLOCK = 100
 LOWEST = -4  # the first rank cell ends at 2**LOWEST
 U = np.uint64
 
@@ -197,6 +199,27 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def apart(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of nodes that share a crowded bucket and are of different ``classes`` (``node, class``; others are their own).
+
+    These are all that ``candidates`` may have left out and that a class can
+    still gain. In each bucket the members outside its largest class meet every
+    member, which is copied for every BLOCK of the others.
+    """
+    members = keyed.select("node", F.posexplode("keys").alias("band", "key"))
+    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > NEIGHBOURS + 1)
+    named = cut(members.join(crowded, ["band", "key"]).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    sizes = named.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.first("size").alias("all"), F.max("n").alias("n"))
+    split = main.filter("n < all").withColumn("blocks", F.ceil((F.col("all") - F.col("n")) / BLOCK))
+    placed = named.join(split, ["band", "key"])
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    few = placed.filter("class <> main").select("band", "key", block.alias("block"), F.col("node").alias("x"), F.col("class").alias("x_class"))
+    every = placed.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("class").alias("y_class"))
+    met = few.join(every, ["band", "key", "block"]).filter("x_class <> y_class")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _meet(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
     """``pairs`` with the value of both ends. A hub's value is copied for every 1,000 of its pairs, so it meets them in many tasks."""
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("parts"))
@@ -211,14 +234,24 @@ def _meet(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
 
 
 def links(nodes: DataFrame, named: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``a, b, jaccard`` between different texts.
+    """Verified links ``a, b, jaccard`` between different texts: enough for the classes of all links that buckets give.
+
+    The first candidates leave pairs of crowded buckets out; those that are
+    still in different classes afterwards are all compared.
+    """
+    found = cut(_verified(cut(candidates(nodes.select("node", "keys"))), nodes, named, similarity))
+    rest = cut(apart(nodes.select("node", "keys"), components(found)))
+    return found if rest.isEmpty() else found.union(_verified(rest, nodes, named, similarity))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """The links ``a, b, jaccard`` among ``pairs``.
 
     ``nodes`` has ``node, copy_of, keys, sketch`` per text, ``named`` has
     ``doc_id, node, text`` per row. Sketches (a few hundred bytes) drop pairs
     that are five standard deviations short; only texts of the others are read
     again for the exact similarity of their sets.
     """
-    pairs = cut(candidates(nodes.select("node", "keys")))
     slack = 5 * math.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
     likely = cut(_meet(pairs, nodes, "sketch").filter(_agreement("sketch_a", "sketch_b") >= similarity - slack).select("a", "b"))
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
