@@ -1,12 +1,14 @@
-"""Token ids of whole texts by a ``tokenizers`` BPE vocabulary, many words at once.
-
-The vocabulary's pre-tokenizer never joins characters across white space, so a
-text's ids are those of its white-space separated chunks in order. Chunks seen
-before are remembered up to a bound; the pieces of new ones are merged together
-as columns of numbers: every round joins, in every word, its leftmost pair of
-lowest rank. That is exact for Latin-1 texts, where NFC and lower-casing act on
-single characters; any other text, and one that holds a special token's string,
-goes to the library itself.
+"""Token ids of whole texts by a ``tokenizers`` BPE vocabulary, many texts at once.
+
+The vocabulary's pre-tokenizer cuts a text into runs of letters, single digits,
+runs of other characters and a few English endings, and drops white space. For
+Latin-1 texts, where NFC and lower-casing act on single characters, these cuts
+follow from the class of each character and of the one before, so they are made
+for whole blocks of texts in columns of numbers; equal pieces are found by
+dictionary encoding. Pieces seen before are remembered up to a bound; new ones
+are merged together: every round joins, in every piece, its leftmost pair of
+lowest rank. Any other text, and one that holds a special token's string, goes
+to the library itself.
 """
 
 from __future__ import annotations
@@ -16,28 +18,43 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Python splits words at these, the library does not.
+from texweave.llm.common import trim
+
+#: Python takes these for white space, the library does not.
 ODD = re.compile(r"[\x1c-\x1f]")
 NONE = np.int32(2**31 - 1)
+SPACE, LETTER, DIGIT, OTHER = range(4)
+#: English endings that are pieces of their own after an apostrophe, fixed values of the vocabulary.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+PATTERN = "|".join(f"'{x}" for x in ENDINGS) + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _classes() -> np.ndarray:
+    """The class of each Latin-1 character."""
+    kinds = ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", DIGIT))
+    return np.array([next((k for p, k in kinds if regex.match(p, chr(c))), OTHER) for c in range(256)], np.uint8)
 
 
 class WordTokens:
-    #: Chunks remembered (besides those of the texts in work), and the longest of them.
-    LIMIT = 250_000
+    #: Pieces remembered (besides those of the texts in work), and the longest of them in bytes.
+    LIMIT = 200_000
     LONG = 48
     #: Characters of the texts that are worked on together.
-    VOLUME = 2_000_000
+    VOLUME = 3_000_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError("this vocabulary cuts texts in another way")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.known: dict[str, bytes] = {}
+        self.classes = _classes()
+        self.known: dict[bytes, bytes] = {}
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         letters = _byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int32)
@@ -51,13 +68,14 @@ class WordTokens:
     def library_ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def plain(self, text: str) -> bool:
-        """Whether chunk-wise encoding is exact for ``text``."""
+    def plain(self, text: str) -> bytes | None:
+        """``text`` in lower case as Latin-1, or None where cuts by character class are not exact."""
+        if ODD.search(text) or self.special.search(text):
+            return None
         try:
-            text.encode("latin-1")
+            return text.lower().encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        return not ODD.search(text) and not self.special.search(text)
+            return None
 
     def all_ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -75,39 +93,62 @@ class WordTokens:
         return next(self.all_ids([text]))
 
     def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        raws = [self.plain(x) for x in texts]
+        found = self._block([x for x in raws if x is not None])
+        for text, raw in zip(texts, raws):
+            yield next(found) if raw is not None else self.library_ids(text)
+
+    def _block(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each of many lower-case Latin-1 texts."""
+        flat = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        starts = self._starts(flat)
+        solid = self.classes[flat] != SPACE
+        at = np.flatnonzero(starts)  # where pieces start
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        last_piece = np.searchsorted(at, ends)
+        offsets = np.append(np.flatnonzero(starts[solid]), np.count_nonzero(solid)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat[solid])]).dictionary_encode()
+        ids, first, size = self._ids(pieces.dictionary.to_pylist())
+        piece = pieces.indices.to_numpy()
+        many = size[piece]
+        upto = np.cumsum(many)
+        out = ids[np.repeat(first[piece] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        low = 0
+        for high in np.concatenate(([0], upto))[last_piece].tolist():
+            yield out[low:high]
+            low = high
+
+    def _starts(self, flat: np.ndarray) -> np.ndarray:
+        """Whether a piece starts at each character."""
+        kind = self.classes[flat]
+        starts = (kind == DIGIT) | (np.append([SPACE], kind[:-1]) != kind)
+        starts &= kind != SPACE
+        quote = np.flatnonzero(flat == ord("'"))
+        if len(quote):
+            # An ending counts if its apostrophe starts a piece; a letter follows, so the apostrophe is alone.
+            quote = quote[starts[quote]]
+            for text in ENDINGS:
+                here = quote[quote + len(text) < len(flat)]
+                for k, letter in enumerate(text.encode(), 1):
+                    here = here[flat[here + k] == letter]
+                starts[here + 1] = False
+                after = here + len(text) + 1
+                after = after[after < len(flat)]
+                starts[after] |= kind[after] == LETTER
+        return starts
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all distinct pieces in a row, and where those of each start and how many they are."""
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        known = self.known
-        encoded: list[list[bytes | None] | None] = []
-        gaps: list[tuple[list, int, str]] = []
-        for text in texts:
-            if not self.plain(text):
-                encoded.append(None)
-                continue
-            chunks = text.lower().split()
-            ids = list(map(known.get, chunks))
-            encoded.append(ids)
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((ids, at, chunks[at]))
-        new = list({chunk for _, _, chunk in gaps})
-        known.update(zip(new, self._encode(new)))
-        for ids, at, chunk in gaps:
-            ids[at] = known[chunk]
-        for text, ids in zip(texts, encoded):
-            yield self.library_ids(text) if ids is None else np.frombuffer(b"".join(ids), "<u4")
-        for chunk in new:
-            if len(chunk) > self.LONG:
-                del known[chunk]
-
-    def _encode(self, chunks: list[str]) -> Iterator[bytes]:
-        """Ids of each chunk as bytes."""
-        split = [self.pieces.findall(c) for c in chunks]
-        words = list({p for found in split for p in found})
-        ids = dict(zip(words, self._merge([w.encode() for w in words])))
-        for found in split:
-            yield ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found))
+        found = list(map(self.known.get, pieces))
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self._merge([p if p.isascii() else p.decode("latin-1").encode() for p in map(pieces.__getitem__, new)])):
+            found[k] = x
+            if len(pieces[k]) <= self.LONG:
+                self.known[pieces[k]] = x
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size
 
     def _merge(self, words: list[bytes]) -> list[bytes]:
         found: list[bytes] = [b""] * len(words)
@@ -178,4 +219,5 @@ def word_tokens(path: str) -> WordTokens:
     """One instance per Python process and vocabulary."""
     if path not in _loaded:
         _loaded[path] = WordTokens(path)
+        trim()  # what reading the file took
     return _loaded[path]
