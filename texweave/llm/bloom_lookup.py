@@ -6,7 +6,7 @@ the XOR of its digests and the XOR of their check hashes. Two sketches subtract
 cell by cell; what both texts share cancels. Peeling then takes digests from
 cells that hold just one and removes them from their other cells, until the
 differing digests are all known. If it gets stuck the sketch was too small and
-the subtraction is repeated with four times the cells.
+the subtraction is repeated with sixteen times the cells.
 
 Sketches are kept as sorted arrays of their non-empty cells, so the work follows
 the number of paragraphs whatever the number of cells.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Cells of the fingerprint itself, a multiple of three.
 CELLS = 60
-GROWTH, RETRIES = 4, 12
+GROWTH, RETRIES = 16, 6
 #: More rounds than peeling below its threshold ever takes.
 ROUNDS = 48
 PARAGRAPH_END = r"[.!?\n]+\s*"
@@ -45,33 +45,41 @@ def _check(digest: Column) -> Column:
 
 
 def _entries(digest: Column, count: Column, cells: Column) -> Column:
-    """What a digest adds to its three cells, one in each third of the sketch."""
+    """What a digest adds to its three cells, one in each third of the sketch.
+
+    The places come from the two halves of the digest and from its check hash.
+    Every size of sketch divides the next, so digests that part in a small one
+    stay apart in larger ones.
+    """
     third = (cells / 3).cast("long")
 
-    def one(j: int) -> Column:
-        at = F.pmod(F.xxhash64(digest, F.lit(j), cells), third) + j * third
-        return F.struct(at.alias("c"), count.alias("n"), digest.alias("k"), _check(digest).alias("h"))
+    def three(check: Column) -> Column:
+        places = (digest, F.shiftrightunsigned(digest, 32), check)
+        return F.array(*(F.struct((F.pmod(x, third) + j * third).alias("c"), count.alias("n"), digest.alias("k"), check.alias("h")) for j, x in enumerate(places)))
 
-    return F.array(one(0), one(1), one(2))
+    return _let(_check(digest), three)
 
 
 def _combine(entries: Column) -> Column:
     """Entries summed by cell, sorted, without empty cells. Linear after the sort."""
 
-    def total(cell: Column) -> Column:
-        zero = F.struct(cell[0]["c"].alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        return F.aggregate(cell, zero, lambda a, x: F.struct(a["c"].alias("c"), (a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")))
+    def both(a: Column, x: Column) -> Column:
+        return F.struct(a["c"].alias("c"), (a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
 
     def by_cell(s: Column) -> Column:
         def groups(starts: Column) -> Column:
-            size = lambda at, i: F.coalesce(F.get(starts, i + 1), F.size(s) + 1) - at
-            # Most cells hold one entry once the sketch is large enough.
-            return F.transform(starts, lambda at, i: F.when(size(at, i) == 1, F.get(s, at - 1)).otherwise(_let(F.slice(s, at, size(at, i)), total)))
+            def total(at: Column, size: Column) -> Column:
+                # Most cells hold one entry once the sketch is large enough, or two when sketches subtract.
+                first = F.get(s, at - 1)
+                longer = F.aggregate(F.slice(s, at + 1, size - 1), first, both)
+                return F.when(size == 1, first).when(size == 2, both(first, F.get(s, at))).otherwise(longer)
+
+            return F.transform(starts, lambda at, i: _let(F.coalesce(F.get(starts, i + 1), F.size(s) + 1) - at, lambda size: total(at, size)))
 
         starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["c"] != F.get(s, i - 2)["c"]))
         return F.filter(_let(starts, groups), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
-    return _let(F.array_sort(entries), lambda s: F.when(F.size(s) == 0, s).otherwise(by_cell(s)))
+    return _let(F.sort_array(entries), lambda s: F.when(F.size(s) == 0, s).otherwise(by_cell(s)))
 
 
 def _adds(count: int, cells: Column) -> Callable[[Column], Column]:
@@ -85,16 +93,27 @@ def sketch(found: Column, cells: Column, count: int = 1) -> Column:
 
 def _peel(difference: Column, cells: Column) -> Column:
     """The digests of a subtracted sketch with their sign; null if peeling gets stuck."""
-    state = F.struct(difference.alias("cells"), F.array_except(F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("n"))), F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("n")))).alias("found"))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("n")))
+    state = _let(difference, lambda d: F.struct(d.alias("cells"), F.slice(none, 1, 0).alias("found"), (F.size(d) > 0).alias("live")))
 
     def step(s: Column, _: Column) -> Column:
         def go(pure: Column) -> Column:
             gone = F.flatten(F.transform(pure, lambda p: _entries(p["k"], -p["n"], cells)))
-            return F.struct(_combine(F.concat(s["cells"], gone)).alias("cells"), F.concat(s["found"], pure).alias("found"))
+            rest = _combine(F.concat(s["cells"], gone))
+            return _let(rest, lambda r: F.struct(r.alias("cells"), F.concat(s["found"], pure).alias("found"), (F.size(r) > 0).alias("live")))
+
+        def distinct(single: Column) -> Column:
+            # By sign: numbers are made distinct by hashing, structs are not.
+            def of(n: int) -> Column:
+                keys = F.array_distinct(F.transform(F.filter(single, lambda x: x["n"] == n), lambda x: x["k"]))
+                return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(n).alias("n")))
+
+            return F.concat(of(1), of(-1))
 
         single = F.filter(s["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"])))
-        pure = F.array_distinct(F.transform(single, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
-        return F.when(F.size(s["cells"]) == 0, s).otherwise(_let(pure, lambda p: F.when(F.size(p) == 0, s).otherwise(go(p))))
+        stuck = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("live"))
+        # Once all is found, or nothing can be taken, later rounds do nothing.
+        return F.when(~s["live"], s).otherwise(_let(_let(single, distinct), lambda p: F.when(F.size(p) == 0, stuck).otherwise(go(p))))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step)
     return _let(done, lambda d: F.when(F.size(d["cells"]) == 0, d["found"]))
@@ -103,7 +122,7 @@ def _peel(difference: Column, cells: Column) -> Column:
 def difference(a: Column, b: Column, a_sketch: Column, b_sketch: Column) -> Column:
     """The digests in just one of two sets, recovered by subtracting sketches and peeling.
 
-    The sketches of CELLS cells are given; sketches of fourfold size follow
+    The sketches of CELLS cells are given; sketches of sixteenfold size follow
     until peeling succeeds. Only if none of RETRIES sizes does (a pair of
     digests that share all cells every time) are the sets compared as they are.
     """
