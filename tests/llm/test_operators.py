@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +16,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from texweave.llm import best_fit_packing, bloom_lookup, compact_windows, dart_minhash, html_template, language_id, link_graph, prefix_bpe, quality_rules, training_order
-from texweave.llm.graph import components
 from texweave.llm.word_tokens import WordTokens, word_tokens
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -59,12 +59,49 @@ def test_html(spark):
     assert html_template.extract(pages.limit(0)).count() == 0
 
 
+def test_html_of_broken_and_long_pages():
+    assert html_template.main_text('<article><p>one <a href="x"">two</a> three<div class="form-example">f</div><div class="social-history">s</div><div class="ad">A</div>') == "one two three\nf\ns"
+    assert html_template.main_text("a <b title='never ends> b") == "a" and html_template.main_text("a <!-- b") == "a" and html_template.main_text("a < b </> c") == "a < b c"
+    for broken in ("<a " * 300_000, "<b>" * 100_000 + "</i>" * 100_000, "</script " * 100_000, '<a "' * 200_000, "<p>" + "<b>" * 60_000 + "<div></div>" * 60_000):
+        began = time.process_time()
+        html_template.main_text(broken)
+        assert time.process_time() - began < 5
+
+
+def test_templates_against_counting(spark, monkeypatch):
+    """Subtrees that recur, counted page by page; the text follows from them without any label."""
+    rnd = random.Random(16)
+    notice, menu = "<div id=n><p>We value your visit</p></div>", "<ul><li>Home</li><li>News</li></ul>"
+    page = lambda i: f"<body>{menu}<div>{''.join(f'<p>{prose(rnd, 9)}</p>' for _ in range(3))}<table><tr><td>Yes</td></tr></table></div>{notice}<div class=menu>{i}</div></body>"
+    rows = [(i, f"http://{'ab'[i % 2]}.org/{i}", page(i)) for i in range(40)] + [(100 + i, "http://a.org/c", "<p>one story</p><div>box</div>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen, texts = {}, {}
+    for _, url, source in rows:
+        host = url.split("/")[2]
+        article, found = html_template.subtrees(source)
+        texts.setdefault(host, set()).add(article)
+        for digest, dear in found.items():
+            seen.setdefault((host, digest), [set(), False])[0].add(article)
+            seen[host, digest][1] |= dear
+    want = {k for k, (on, dear) in seen.items() if len(on) >= 5 and len(on) >= (0.5 if dear else 0.02) * len(texts[k[0]])}
+    assert {(r["host"], r["digest"]) for r in html_template.templates(pages).collect()} == want and len(want) >= 8
+    root = html_template.parse(rows[0][2])
+    html_template._digest(root)
+    own = frozenset(d for h, d in want if h == "a.org")
+    text = html_template.main_text(rows[0][2], own)
+    assert "value" not in text and "News" not in text and len(text.split("\n")) == 3
+    for empty in ("LABELS", "REPLIES", "ROLES", "HEADS"):
+        monkeypatch.setattr(html_template, empty, frozenset())
+    assert html_template.main_text(rows[0][2], own) == text + "\n0"
+
+
 def test_compact_windows_cover_every_stretch():
     rng = np.random.default_rng(0)
     for n, width in ((0, 5), (4, 5), (5, 5), (60, 7), (61, 20)):
         values = rng.permutation(n).astype(np.uint64) << np.uint64(20)
         windows = compact_windows.compact_windows(values, width)
-        assert sorted(c for _, c, _ in windows) == compact_windows._centers(values, width).tolist()
+        starts = [(max(l, c - width + 1), c, min(c, r - width + 1)) for l, c, r in windows]
+        assert sorted(starts) == list(zip(*(x.tolist() for x in compact_windows._starts(values, width))))
         for i in range(n):
             for j in range(i + width - 1, n):
                 c = i + int(values[i : j + 1].argmin())
@@ -101,6 +138,48 @@ def test_repeats_of_middle_texts(spark):
     assert tied == 36
 
 
+def test_one_id_with_two_texts(spark):
+    """Passages belong to a text, not to an id: another text of the id loses nothing."""
+    rnd = random.Random(13)
+    passage = prose(rnd, 60)
+    rows = []
+    for n in range(6):
+        rows += [(2 * n, prose(rnd, 70)), (2 * n + 1, prose(rnd, 5) + " " + passage), (2 * n + 1, prose(rnd, 90)), (2 * n + 1, prose(rnd, 3))]
+    left = Counter((r["doc_id"], r["text"]) for r in compact_windows.remove(documents(spark, rows)).collect())
+    want = Counter((i, " ".join(x.split()[:5]) + " " if passage in x and i > 1 else x) for i, x in rows)
+    assert left == want
+
+
+def test_repeats_hidden_by_a_common_line(spark):
+    """A line that all texts share makes no pairs of its own and hides no longer passage around it."""
+    rnd = random.Random(14)
+    line, passage = prose(rnd, 30), prose(rnd, 30)
+    rows = [(i, f"{prose(rnd, 30)} {line} {prose(rnd, 40)}") for i in range(120)]
+    rows += [(200 + i, f"{prose(rnd, 30)} {line} {passage} {prose(rnd, 20)}") for i in range(3)] + [(300, f"{prose(rnd, 9)} {line}")]
+    found = [(r["doc_id"], r["src_id"], r["start_word"], r["end_word"]) for r in compact_windows.passages(documents(spark, rows)).collect()]
+    assert {x[0] for x in found} == {201, 202} and all(x[2:] == (30, 90) for x in found)
+
+
+def test_recall_of_passages(spark):
+    """Edited passages of over 50 words, against all pairs of texts compared along their diagonals."""
+    rnd = random.Random(15)
+    rows = []
+    for n in range(60):
+        passage = prose(rnd, rnd.randint(52, 90)).split()
+        rows.append((2 * n, " ".join([prose(rnd, rnd.randint(0, 40)), *passage, prose(rnd, 20)])))
+        passage[rnd.randrange(len(passage))] = "edit"
+        rows.append((1000 + 2 * n, " ".join([prose(rnd, rnd.randint(0, 40)), *passage, prose(rnd, 20)])))
+    hashes, want = compact_windows.WordHashes(), set()
+    tokens = {i: (compact_windows.tokens(t.encode().split(), hashes) >> np.uint64(32)).astype("<u4") for i, t in rows}
+    for i in tokens:
+        for j in tokens:
+            if j < i:
+                earlier = compact_windows.Ranked(tokens[j])
+                want |= {(i, j, *r) for r in compact_windows.repeated(tokens[i], earlier, compact_windows.diagonals(tokens[i], earlier))}
+    got = {(r["doc_id"], r["src_id"], r["start_word"], r["end_word"]) for r in compact_windows.passages(documents(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 50
+
+
 def test_url_rules_and_links(spark):
     urls = ["https://a.EXAMPLE.com/en/70?x", "http://com/en/", "http://x.com/fr", "http://example.net/de/8#q", "http://b.net/de/1", "nothing", None, "http://acom/en/", "http://y.org/es/z", "http://h.com?/en/"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("rule", F.lit(1))
@@ -206,13 +285,13 @@ def test_crowded_buckets_leave_no_document_apart(spark, monkeypatch):
             text[rnd.randrange(100)] = f"t{n}"
             rows.append((2 * n + 1, " ".join(text)))
     docs = documents(spark, rows)
-    sets = {i: dart_minhash.runs(t.encode(), dart_minhash.WordHashes()) for i, t in rows}
+    sets = {i: dart_minhash.runs(t.encode(), dart_minhash.WordHashes())[0] for i, t in rows}
     named = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("node"))
     # One bucket for all: signatures have nothing to say, so that pairs are left to the code under test.
     sketch = {i: dart_minhash.signature(x).astype("<u2").tobytes() for i, x in sets.items()}
     node = {r["doc_id"]: r["node"] for r in named.collect()}
     nodes = spark.createDataFrame([(node[i], i, [1], bytearray(sketch[i])) for i in sets], "node string, copy_of long, keys array<long>, sketch binary")
-    got = {r["node"]: r["class"] for r in components(dart_minhash.links(nodes, named)).collect()}
+    got = {r["node"]: r["class"] for r in dart_minhash.linked(nodes, named).collect()}
     group = {i: i for i in sets}
 
     def root(x):

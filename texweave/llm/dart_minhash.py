@@ -9,8 +9,14 @@ coordinate with the probability of their weighted Jaccard similarity. Ranks are
 visited up to a bound that leaves about ``k ln k`` darts, so the work follows
 the number of elements and coordinates and not their product.
 
-Documents are compared as sets of five-word runs (weight one each); texts of
-fewer words are one run. Equal texts are joined first and expanded last.
+Documents are compared as bags of five-word runs: a run's weight is how often
+the text has it, and similarity is weighted Jaccard. Texts of fewer words are
+one run. Equal texts are joined first and expanded last.
+
+Members of a bucket first meet its hub and a few others. Where a large bucket
+still holds several classes afterwards, everything outside its largest class is
+compared with all members in blocks that hand on links alone, so no pair that
+shares a bucket and could still join two classes is left out.
 """
 
 from __future__ import annotations
@@ -33,13 +39,14 @@ BANDS, ROWS = 25, 5
 SIZE = 5
 SIMILARITY = 0.8
 #: Buckets of so many members and one meet in all pairs; in larger ones each
-#: member meets the bucket's hub and CROWD_NEIGHBOURS others.
-NEIGHBOURS = 8
-CROWD_NEIGHBOURS = 8
-#: A larger bucket is dealt into parts of about this size; its hub serves all of them.
+#: member first meets the hub and FIRST others; ``apart`` finds the rest.
+SMALL, FIRST = 8, 1
+#: A larger bucket is dealt into parts of about this size for the first meetings; its hub serves all of them.
 BUCKET = 10_000
-#: Members of a bucket, outside its largest class, that meet one copy of the bucket.
-BLOCK = 100
+#: Texts held while others of their bucket pass by, and how many of these pass in one task.
+BLOCK, PASSING = 128, 2_000
+#: Cells of the table of held texts and their runs, in which passing texts are counted.
+CELLS = 16_000_000
 LOWEST = -4  # the first rank cell ends at 2**LOWEST
 U = np.uint64
 
@@ -121,15 +128,21 @@ def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int =
         bound *= 2
 
 
-def runs(text: bytes, hashes: WordHashes, size: int = SIZE) -> np.ndarray:
-    """The distinct word runs of a text, as sorted 64-bit hashes; a shorter text is one run."""
+def runs(text: bytes, hashes: WordHashes, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word runs of a text, as sorted 64-bit hashes, and how often it has each; a shorter text is one run."""
     words = text.split()
     if not words:
-        return np.empty(0, U)
+        return np.empty(0, U), np.empty(0, np.int64)
     of = hashes.of(words)
-    if len(words) < size:
-        return shingles(of, len(words))
-    return np.unique(shingles(of, size))
+    return np.unique(shingles(of, min(size, len(words))), return_counts=True)
+
+
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A sorted 64-bit hash for each occurrence of each run: plain Jaccard of these is weighted Jaccard of the bags."""
+    if not len(counts) or counts.max() == 1:
+        return elements
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(np.where(nth == 0, np.repeat(elements, counts), mix(np.repeat(elements, counts) + nth.astype(U) * U(0xD6E8FEB86659FD93))))
 
 
 @trimmed
@@ -139,8 +152,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sketch = [], []
         for raw in batch.column(2):
-            elements = runs(raw.as_py(), hashes)
-            found = signature(elements)
+            elements, counts = runs(raw.as_py(), hashes)
+            found = signature(elements, counts.astype(np.float64) if len(counts) and counts.max() > 1 else None)
             sketch.append(found.astype("<u2").tobytes())
             bands = found.reshape(BANDS, ROWS)
             key = np.arange(BANDS, dtype=U)
@@ -152,10 +165,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @trimmed
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word runs of each text as sorted 32-bit hashes."""
+    """The occurrences of word runs of each text as sorted 32-bit hashes, of which two meet in one of 100,000 words."""
     hashes = WordHashes()
     for batch in batches:
-        sets = [np.unique((runs(x.as_py(), hashes) >> U(32)).astype("<u4")).tobytes() for x in batch.column(1)]
+        sets = [np.unique((occurrences(*runs(x.as_py(), hashes)) >> U(32)).astype("<u4")).tobytes() for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
 
 
@@ -177,47 +190,98 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=float)
 
 
-def candidates(keyed: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of nodes that share a band's bucket, linear in the number of bucket members.
+def shared(nodes: DataFrame) -> DataFrame:
+    """``node, band, key, size``: the members of every bucket that has more than one."""
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return cut(members.join(crowded, ["band", "key"]))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``members`` of one bucket, linear in their number.
 
     Within a bucket every member meets the bucket's hub - the member whose
     buckets are the most crowded over all bands, as an original's among its
     edited copies are - and the members before it, in an order that differs
     from band to band.
     """
-    members = keyed.select("node", F.posexplode("keys").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(members.join(crowded, ["band", "key"]))
     fame = members.groupBy("node").agg(F.sum("size").alias("fame"))
     hubs = members.join(fame, "node").groupBy("band", "key").agg(F.max(F.struct("fame", "node"))["node"].alias("hub"))
     parts = members.withColumn("part", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / BUCKET)))
     inside = Window.partitionBy("band", "key", "part").orderBy(F.xxhash64("band", "node"), "node")
-    before = parts.select("node", "size", F.array(*(F.lag("node", k).over(inside) for k in range(1, NEIGHBOURS + 1))).alias("before"))
-    near = before.select("node", F.explode(F.when(F.col("size") <= NEIGHBOURS + 1, F.col("before")).otherwise(F.slice("before", 1, CROWD_NEIGHBOURS))).alias("other"))
+    before = parts.select("node", "size", F.array(*(F.lag("node", k).over(inside) for k in range(1, SMALL + 1))).alias("before"))
+    near = before.select("node", F.explode(F.when(F.col("size") <= SMALL + 1, F.col("before")).otherwise(F.slice("before", 1, FIRST))).alias("other"))
     starred = members.join(hubs, ["band", "key"]).select("node", F.col("hub").alias("other"))
     pairs = near.filter("other is not null").union(starred).filter("node <> other")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def apart(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of nodes that share a crowded bucket and are of different ``classes`` (``node, class``; others are their own).
+def apart(members: DataFrame, nodes: DataFrame, named: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b, jaccard`` of ``members`` that share a crowded bucket and are of different ``classes`` (``node, class``; others are their own).
 
     These are all that ``candidates`` may have left out and that a class can
     still gain. In each bucket the members outside its largest class meet every
-    member, which is copied for every BLOCK of the others.
+    member: the former are held BLOCK at a time, the latter pass them PASSING at
+    a time, and only links leave the task.
     """
-    members = keyed.select("node", F.posexplode("keys").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > NEIGHBOURS + 1)
-    named = cut(members.join(crowded, ["band", "key"]).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
-    sizes = named.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    crowded = members.filter(F.col("size") > SMALL + 1)
+    placed = cut(crowded.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    sizes = placed.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.first("size").alias("all"), F.max("n").alias("n"))
-    split = main.filter("n < all").withColumn("blocks", F.ceil((F.col("all") - F.col("n")) / BLOCK))
-    placed = named.join(split, ["band", "key"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    few = placed.filter("class <> main").select("band", "key", block.alias("block"), F.col("node").alias("x"), F.col("class").alias("x_class"))
-    every = placed.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("class").alias("y_class"))
-    met = few.join(every, ["band", "key", "block"]).filter("x_class <> y_class")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    grid = F.ceil((F.col("all") - F.col("n")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / PASSING).alias("parts")
+    split = main.filter("n < all").select("band", "key", "main", *grid)
+    met = placed.select("band", "key", "node", "class").join(split, ["band", "key"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("node", "band"), F.col(n))
+    held = met.filter("class <> main").select("band", "key", one("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("passing"), "node", "class")
+    passing = met.select("band", "key", every("blocks").alias("block"), one("parts").alias("part"), F.lit(1).alias("passing"), "node", "class")
+    bags = _bags(met.select("node").distinct(), nodes, named)
+    dealt = held.union(passing).join(bags, "node").select("band", "key", "block", "part", "passing", "node", "class", "elements")
+    where = ["band", "key", "block", "part"]
+    found = dealt.repartition(*where).sortWithinPartitions(*where, "passing").mapInArrow(_pass_by(similarity), "a string, b string, jaccard double")
+    return found.distinct()
+
+
+def _pass_by(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by place and ``passing``: first the texts to hold, then those that pass -> links between classes."""
+        place, held = None, []
+        for batch in batches:
+            rows: list[tuple[str, str, float]] = []
+            passing: list[tuple[str, str, np.ndarray]] = []
+            columns = [c.to_pylist() for c in batch.columns[:7]]
+            for *at, passes, node, name, raw in zip(*columns, batch.column(7)):
+                if at != place:
+                    rows += links_between(held, passing, similarity)
+                    place, held, passing = at, [], []
+                (passing if passes else held).append((node, name, np.frombuffer(raw.as_py(), "<u4")))
+            rows += links_between(held, passing, similarity)
+            ends = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(ends, (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "jaccard"])
+
+    return trimmed(run)
+
+
+def links_between(held: list[tuple[str, str, np.ndarray]], passing: list[tuple[str, str, np.ndarray]], similarity: float) -> Iterator[tuple[str, str, float]]:
+    """The links ``a, b, jaccard`` (a < b) between held and passing texts (node, class, elements) of different classes."""
+    passing = [x for x in passing if len(x[2])]
+    while held and passing:
+        size = 1
+        while size < len(held) and (size + 1) * sum(len(x[2]) for x in held[: size + 1]) <= CELLS:
+            size += 1
+        some, held = held[:size], held[size:]
+        known = np.unique(np.concatenate([x[2] for x in some]))
+        table = np.zeros((len(known), len(some)), np.uint8)
+        for k, (_, _, elements) in enumerate(some):
+            table[np.searchsorted(known, elements), k] = 1
+        sizes = np.array([len(x[2]) for x in some])
+        for node, name, elements in passing if len(known) else ():
+            at = np.minimum(np.searchsorted(known, elements), len(known) - 1)
+            both = table[at[known[at] == elements]].sum(axis=0, dtype=np.int64)
+            jaccard = both / (sizes + len(elements) - both)
+            for k in np.flatnonzero(jaccard >= similarity):
+                if some[k][1] != name:
+                    yield min(node, some[k][0]), max(node, some[k][0]), float(jaccard[k])
 
 
 def _meet(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
@@ -233,15 +297,31 @@ def _meet(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
-def links(nodes: DataFrame, named: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``a, b, jaccard`` between different texts: enough for the classes of all links that buckets give.
+def linked(nodes: DataFrame, named: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, class`` of every node with a link; nodes without one are their own class.
 
-    The first candidates leave pairs of crowded buckets out; those that are
-    still in different classes afterwards are all compared.
+    The first candidates leave pairs of crowded buckets out; ``apart`` finds the
+    links among these that still join two classes.
     """
-    found = cut(_verified(cut(candidates(nodes.select("node", "keys"))), nodes, named, similarity))
-    rest = cut(apart(nodes.select("node", "keys"), components(found)))
-    return found if rest.isEmpty() else found.union(_verified(rest, nodes, named, similarity))
+    members = shared(nodes)
+    found = cut(_verified(cut(candidates(members)), nodes, named, similarity))
+    classes = components(found)
+    more = cut(apart(members, nodes, named, classes, similarity))
+    if more.isEmpty():
+        return classes
+    own = classes.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").select("node", F.col("node").alias("class")))
+    of = lambda end: own.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
+    joined = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
+    renamed = joined.select(F.col("node").alias("class"), F.col("class").alias("now"))
+    return own.join(renamed, "class", "left").select("node", F.coalesce("now", "class").alias("class"))
+
+
+def _bags(wanted: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """``node, elements`` of the nodes in ``wanted``, from their texts."""
+    wanted = nodes.select("node", "copy_of").join(wanted, "node")
+    rows = named.join(wanted, (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["copy_of"]), "left_semi")
+    bags = rows.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(_elements, "node string, elements binary")
+    return cut(bags.groupBy("node").agg(F.first("elements").alias("elements")))  # rows that repeat both id and text count once
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
@@ -249,17 +329,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame, similarity:
 
     ``nodes`` has ``node, copy_of, keys, sketch`` per text, ``named`` has
     ``doc_id, node, text`` per row. Sketches (a few hundred bytes) drop pairs
-    that are five standard deviations short; only texts of the others are read
-    again for the exact similarity of their sets.
+    that are five standard deviations short, which a link is with odds under one
+    in a million; only texts of the others are read again for the exact
+    similarity of their bags.
     """
     slack = 5 * math.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))
     likely = cut(_meet(pairs, nodes, "sketch").filter(_agreement("sketch_a", "sketch_b") >= similarity - slack).select("a", "b"))
     ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    wanted = nodes.select("node", "copy_of").join(ends, "node")
-    rows = named.join(wanted, (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["copy_of"]), "left_semi")
-    sets = rows.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(_elements, "node string, elements binary")
-    sets = cut(sets.groupBy("node").agg(F.first("elements").alias("elements")))  # rows that repeat both id and text count once
-    return _meet(likely, sets, "elements").select("a", "b", _jaccard("elements_a", "elements_b").alias("jaccard")).filter(F.col("jaccard") >= similarity)
+    return _meet(likely, _bags(ends, nodes, named), "elements").select("a", "b", _jaccard("elements_a", "elements_b").alias("jaccard")).filter(F.col("jaccard") >= similarity)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -274,8 +351,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", F.md5(F.col("text").cast("binary")))
     described = cut(named.select("doc_id", "node", F.col("text").cast("binary").alias("raw")).mapInArrow(_describe, "doc_id long, node string, keys array<long>, sketch binary"))
     nodes = cut(described.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    found = cut(links(nodes, named, similarity))
-    joined = components(found)
+    joined = cut(linked(nodes, named, similarity))
     facts = nodes.select("node", "copy_of").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
     lowest = facts.groupBy("class").agg(F.min("copy_of").alias("class_id"))
     facts = facts.join(lowest, "class").select("node", "class_id", "copy_of")

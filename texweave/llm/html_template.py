@@ -2,10 +2,11 @@
 
 Every element subtree of a page is hashed (names, words, children), its hashes
 are counted per host over distinct pages in Spark, and a subtree that recurs
-across many pages of its host is template and goes. Pages whose longest
-paragraph is the same count once, so copies of an article make no template. A
-page's article is dearer than what is around it: inside it a subtree must recur
-on most of the host's pages, and single cells and list items never count there.
+across many pages of its host is template and goes. Pages of the same text count
+once, so copies of an article make no template. Prose, and all that is inside a
+marked article, is dearer than the rest: it must recur on most of the host's
+pages (near copies of an article are fewer), and single cells and list items
+never count inside an article.
 What a page says about itself supports this: the article is read where one is
 marked, elements and roles that are never the article (navigation, forms, ...)
 go, and so do parts that whole class or id names label, or, where no article is
@@ -34,7 +35,7 @@ from texweave.llm.common import cut
 
 #: A subtree is template if it is on so many pages of its host with different articles ...
 MIN_PAGES = 5
-#: ... and on this share of the host's pages; for prose and inside a marked article on this one.
+#: ... and on this share of the host's pages; with prose, or inside a marked article, on this one.
 MIN_SHARE, PROSE_SHARE = 0.02, 0.5
 #: Broadcast the templates only up to this many rows (about 100 bytes each).
 BROADCAST_ROWS = 200_000
@@ -46,7 +47,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title".split())
 DROPPED = frozenset("script style template noscript nav footer aside form button select textarea iframe object svg canvas dialog menu head title audio video map datalist input label fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ARTICLE = frozenset(("article", "main"))
 #: Parts of lists and tables: inside an article they are content of their own.
 ITEMS = frozenset("li dt dd tr td th tbody thead tfoot caption option".split())
@@ -93,6 +94,8 @@ class Node:
     head: bool = False
     parts: list = field(default_factory=list)  # text and nodes, in order
     digest: int = 0
+    #: Whether it is or holds a paragraph or heading.
+    prose: bool = False
 
 
 @dataclass(slots=True)
@@ -232,7 +235,7 @@ def parse(source: str) -> Node:
 
 
 def _digest(root: Node) -> None:
-    """Sets every node's digest: a hash of its name, its words and its children's digests."""
+    """Sets every node's digest, a hash of its name, its words and its children's digests, and whether it has prose."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -240,8 +243,10 @@ def _digest(root: Node) -> None:
         todo.extend(x for x in node.parts if isinstance(x, Node))
     for node in reversed(order):
         h = xxhash.xxh3_64(node.name)
+        node.prose = node.name in PROSE
         for part in node.parts:
             if isinstance(part, Node):
+                node.prose |= part.prose
                 h.update(part.digest.to_bytes(8, "little"))
             else:
                 h.update(" ".join(part.split()))
@@ -266,9 +271,9 @@ def _main(root: Node) -> list[Node]:
 
 
 def subtrees(source: str) -> tuple[int, dict[int, bool]]:
-    """A hash of the longest paragraph, and the digests of all element subtrees with whether each is dear.
+    """A hash of the text, and the digests of all element subtrees with whether each is dear.
 
-    Dear are subtrees inside a marked article, and prose anywhere.
+    Dear are subtrees inside a marked article, and those with prose anywhere.
     """
     root = parse(source)
     _digest(root)
@@ -280,12 +285,11 @@ def subtrees(source: str) -> tuple[int, dict[int, bool]]:
     while todo:
         node, dear = todo.pop()
         if not (dear and node.name in ITEMS) and node.name not in ("body", "head"):
-            is_dear = dear or node.name in PROSE
+            is_dear = dear or node.prose
             found[node.digest] = found.get(node.digest, False) or is_dear
         below = dear or id(node) in inside
         todo.extend((x, below) for x in node.parts if isinstance(x, Node))
-    longest = max(main_text(source, tree=root).split("\n"), key=lambda x: (len(x), x))
-    return xxhash.xxh3_64_intdigest(longest) >> 1, found
+    return xxhash.xxh3_64_intdigest(main_text(source, tree=root)) >> 1, found
 
 
 def main_text(source: str | None, templates: frozenset[int] = frozenset(), tree: Node | None = None) -> str:
@@ -335,8 +339,8 @@ def host(url: Column) -> Column:
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
     """``host, digest`` of the subtrees that recur on many pages of a host.
 
-    Pages with the same longest paragraph count once, so that copies of a page
-    make no template. A host's templates are at most (subtrees per page) /
+    Pages of the same text count once, so that copies of a page make no
+    template. A host's templates are at most (subtrees per page) /
     ``min_share``. Counts are combined before each shuffle, so a hot host costs
     its distinct subtrees.
     """
