@@ -49,7 +49,8 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: SQL cannot express the trained classifier and the sketches; the tests hold run() against a brute-force version.
+#: SQL cannot express the trained classifier and the sketches; tests hold each operator against a brute-force version
+#: and run() against its stages one by one.
 ORACLE_SQL = None
 
 

@@ -189,7 +189,7 @@ def test_url_rules_and_links(spark):
     assert got[7][2] is None and got[8][3] == "block" and got[9] == ("h.com", "", None, "allow")
     assert link_graph.judge(pages.limit(0)).count() == 0
     edges = [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 3)]
-    scores = {r["host"]: r["score"] for r in link_graph.rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("a", 1.0)], "host string, weight double"), damping=0.2, tolerance=1e-3, max_rounds=6).collect()}
+    scores = {r["host"]: r["score"] for r in link_graph.rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("a", 1.0)], "host string, weight double"), damping=0.2, tolerance=1e-3).collect()}
     m = np.array([[0, 0, 1], [0.25, 0, 0], [0.75, 1, 0]])
     x = np.linalg.solve(np.eye(3) - 0.2 * m, np.array([0.8, 0, 0]))
     assert [scores[k] for k in "abc"] == pytest.approx(x.tolist(), abs=2e-3)

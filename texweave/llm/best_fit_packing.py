@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from texweave.llm.common import cut, trimmed
-from texweave.llm.word_tokens import word_tokens
+from texweave.llm.word_tokens import forget, word_tokens
 
 CAPACITY = 4096
 #: Id that ends every document.
@@ -176,7 +176,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     ``capacity`` ids. Null texts count as empty: a piece of the end id alone.
     """
 
-    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
         for batch in batches:
@@ -190,7 +189,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        tokens.known.clear()  # the worker stays for other tasks
+        del tokens
+        forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

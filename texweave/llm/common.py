@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where lineage is cut when the session names no ``spark.checkpoint.dir``.
+#: Where lineage is cut in a local session that names no ``spark.checkpoint.dir``.
 LOCAL_CHECKPOINTS = "file:///tmp/texweave-checkpoints"
 
 
@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The cluster's shared folder; a local one only where driver and executors are one process (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def cut(df: DataFrame) -> DataFrame:

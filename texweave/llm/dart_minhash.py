@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from texweave.llm.common import WordHashes, cut, mix, shingles, trimmed
+from texweave.llm.common import WordHashes, cut, mix, shingles, trim, trimmed
 from texweave.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -173,21 +173,24 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @F.pandas_udf(DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+def _agreement(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     k = BANDS * ROWS
-    left = np.frombuffer(b"".join(map(bytes, a)), "<u2").reshape(-1, k)
-    right = np.frombuffer(b"".join(map(bytes, b)), "<u2").reshape(-1, k)
-    return pd.Series((left == right).mean(axis=1))
+    for a, b in batches:
+        left, right = (np.frombuffer(b"".join(map(bytes, x)), "<u2").reshape(-1, k) for x in (a, b))
+        yield pd.Series((left == right).mean(axis=1))
+    trim()
 
 
 @F.pandas_udf(DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    found = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        found.append(both / (len(x) + len(y) - both))
-    return pd.Series(found, dtype=float)
+def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        found = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(both / (len(x) + len(y) - both))
+        yield pd.Series(found, dtype=float)
+    trim()
 
 
 def shared(nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ the rules allow are trusted, hosts all of whose pages they block are blocked.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,6 @@ RULES = (
 )
 DAMPING = 0.85
 TOLERANCE = 1e-4
-MAX_ROUNDS = 30
 #: Share of all distrust, times the number of hosts that have a score, from which a host is blocked.
 THRESHOLD = 0.5
 
@@ -73,12 +73,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted
 
 
-def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, score``: personalised PageRank over ``src, dst, n`` from ``seeds`` (``host, weight``).
 
     Scores sum to 1: what hosts without links would pass on returns to the
     seeds, which scaling at the end does as well. Hosts that no seed reaches
-    are not in the result. Every round is cut.
+    are not in the result. Every round is cut, and rounds go on until all scores
+    together change by no more than ``tolerance``: a round's change is at most
+    ``damping`` of the one before, which bounds their number (57 as given).
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
@@ -87,13 +89,15 @@ def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     votes = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all") * damping).alias("share")))
     scores = home.select("host", F.col("home").alias("score"))
-    for _ in range(max_rounds):
+    for _ in range(1 + math.ceil(math.log(tolerance / 2) / math.log(damping)) if damping else 1):
         passed = scores.join(votes, scores["host"] == votes["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("passed"))
         now = passed.join(home, "host", "full").select("host", (F.coalesce("passed", F.lit(0.0)) + F.coalesce("home", F.lit(0.0))).alias("score"))
         both = cut(now.join(scores.withColumnRenamed("score", "was"), "host", "left").select("host", "score", F.coalesce("was", F.lit(0.0)).alias("was")))
         scores = both.select("host", "score")
         if both.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] <= tolerance:
             break
+    else:
+        raise ArithmeticError("scores did not settle")
     return scores.select("host", (F.col("score") / scores.agg(F.sum("score")).first()[0]).alias("score"))
 
 

@@ -32,7 +32,7 @@ SAMPLE_CHARS = 20_000
 
 @lru_cache(maxsize=1)
 def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
-    kinds = [unicodedata.category(chr(c)) for c in range(0x10000)]
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
     return np.array([k == "Lu" for k in kinds]), np.array([k[0] == "L" for k in kinds])
 
 
@@ -105,7 +105,6 @@ class TextView:
         """Upper-case letters and all letters."""
         codes = np.frombuffer(self.raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
         upper, letter = _letter_tables()
-        codes = codes[codes < 0x10000]
         return int(upper[codes].sum()), int(letter[codes].sum())
 
     @cached_property
@@ -147,8 +146,11 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     rows = [bytes(r["raw"]) for r in sample]
     found = []
     for rule in rules:
+        views = [TextView(x) for x in rows]
+        for view in views:
+            view.words, view.lines  # what rules share is not a rule's cost
         began = time.thread_time()
-        hits = sum(bool(rule.rejects(TextView(x))) for x in rows)
+        hits = sum(bool(rule.rejects(x)) for x in views)
         found.append((rule.name, len(rows), hits, time.thread_time() - began))
     return pd.DataFrame(found, columns=["rule", "n", "hits", "seconds"])
 

@@ -44,7 +44,7 @@ class WordTokens:
     LIMIT = 200_000
     LONG = 48
     #: Characters of the texts that are worked on together.
-    VOLUME = 3_000_000
+    VOLUME = 2_000_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -216,8 +216,14 @@ _loaded: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One instance per Python process and vocabulary."""
+    """One instance per Python process and vocabulary, until ``forget``."""
     if path not in _loaded:
         _loaded[path] = WordTokens(path)
         trim()  # what reading the file took
     return _loaded[path]
+
+
+def forget() -> None:
+    """Lets the vocabularies go; a worker that stays for tasks of other operators need not hold them."""
+    _loaded.clear()
+    trim()
