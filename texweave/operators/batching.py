@@ -16,22 +16,29 @@ IGNORE = -100
 
 
 def with_ordinal(rows: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
-    """``rows`` with their 0-based place in the order of ``keys``.
+    """``rows`` with their 0-based place in the order of ``keys``; equal keys are in any order.
 
-    Ranges are numbered on their own and shifted by the sizes of those before,
-    so no task sees more than a range; only the sizes reach the driver.
+    Only the keys are range-partitioned and cut; ranges are numbered on their
+    own and shifted by the sizes of those before, so no task sees more than a
+    range and only the sizes reach the driver. Rows beside their keys join back
+    on keys and the count of equal ones, which is one shuffle of their own.
     """
-    ranged = rows.repartitionByRange(*map(F.col, keys)).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    ranged = cut(ranged)
-    sizes = ranged.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    before, total = {}, 0
+    slim = cut(rows.select(*keys).repartitionByRange(*map(F.col, keys)).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = slim.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before, total = [0] * (sizes[-1]["part"] + 1 if sizes else 1), 0
     for r in sizes:
         before[r["part"]] = total
         total += r["n"]
-    if not before:
-        return ranged.withColumn(name, F.lit(0).cast("long")).drop("_at")
-    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    return ranged.withColumn(name, F.element_at(start, F.shiftright("_at", 33)) + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    start = F.array(*(F.lit(x).cast("long") for x in before))
+    numbered = slim.withColumn(name, F.get(start, part) + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    if sorted(rows.columns) == sorted(keys):
+        return numbered.select(*rows.columns, name)
+    same = Window.partitionBy(*keys).orderBy(F.lit(0))
+    left = rows.withColumn("_nth", F.row_number().over(same))
+    right = numbered.select(*(F.col(k).alias(f"_{k}") for k in keys), name, F.row_number().over(Window.partitionBy(*keys).orderBy(name)).alias("_nth_"))
+    on = [left[k].eqNullSafe(right[f"_{k}"]) for k in keys] + [left["_nth"] == right["_nth_"]]
+    return left.join(right, on).select(*(left[c] for c in rows.columns), name)
 
 
 def shard(ordinal: Column, shards: int) -> Column:
