@@ -55,17 +55,26 @@ def corpus_bleu(pairs: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     return lengths.crossJoin(pooled).select(score.alias("bleu"))  # one row each
 
 
+def letter(place: Column) -> Column:
+    """A character of its own for each place from 1 on: U+4E00 and up, and from the surrogates on the planes above."""
+    point = F.when(place < 0xD800 - 0x4E00, F.lit(0x4E00) + place).otherwise(F.lit(0x10000) + place)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def edit_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance of token arrays: each distinct token of the pair becomes one character.
 
-    Exact up to 20,000 distinct tokens in a pair (characters from U+4E00 on).
+    Exact up to a million distinct tokens in a pair; more are an error.
     """
 
     def spelled(side: Column, letters: Column) -> Column:
-        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(letters, t)), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(side, letter), "")
+        return F.array_join(F.transform(side, lambda t: letter(F.array_position(letters, t))), "")
+
+    def told(x: Column) -> Column:
+        found = F.levenshtein(spelled(x["p"], x["u"]), spelled(x["r"], x["u"]))
+        return F.when(F.size(x["u"]) <= 1_000_000, found).otherwise(F.raise_error(F.lit("too many distinct tokens in a pair")).cast("int"))
 
-    return let(lambda x: F.levenshtein(spelled(x["p"], x["u"]), spelled(x["r"], x["u"])), p=left, r=right, u=F.array_distinct(F.concat(left, right)))
+    return let(told, p=left, r=right, u=F.array_distinct(F.concat(left, right)))
 
 
 def normalized_distance(left: Column, right: Column) -> Column:

@@ -11,8 +11,6 @@ from texweave.operators import policy as P
 
 VOCABULARY = Vocabulary.core()
 MAX_LENGTH = 1027
-#: Tokens of each side that the oracle of the edit distances looks at; the queries look at all.
-PAIR_TOKENS = 40
 KEEP_DROP = P.Policy(MAX_LENGTH, "keep", "drop")
 DROP_DROP = P.Policy(MAX_LENGTH, "drop", "drop")
 
@@ -34,12 +32,12 @@ def judged(spark: SparkSession, sf_dir: str, policy: P.Policy = KEEP_DROP) -> Da
     return P.judged(measured(spark, sf_dir), policy)
 
 
-def pairs(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as prediction, the next as reference; ``pair_id, p, r``."""
     turns = table(spark, sf_dir, "conversations")
     following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = turns.withColumn("reference", following).filter("reference is not null")
-    side = lambda c: latex.split_white(c) if limit is None else F.slice(latex.split_white(c), 1, limit)
+    side = latex.split_white
     return rows.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), side(F.col("text")).alias("p"), side(F.col("reference")).alias("r"))
 
 
