@@ -10,7 +10,6 @@ from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where lineage is cut in a local session that names no ``spark.checkpoint.dir``.
@@ -55,21 +54,6 @@ def release(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
-
-    LIMIT = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers with good avalanche (murmur3 finaliser)."""
     x = x ^ (x >> np.uint64(33))
@@ -79,6 +63,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A 64-bit number for each byte.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class WordHashes:
+    """64-bit hashes of words (bytes without white space), all words of a text at once.
+
+    A word's hash is a polynomial of its bytes, taken as the difference of two
+    running sums over the text and moved to the word's start; powers and their
+    inverses modulo 2**64 are kept up to the longest text seen, and let go
+    beyond KEPT bytes.
+    """
+
+    KEPT = 1 << 20
+    BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.powers) >= n:
+            return self.powers, self.inverses
+        made = []
+        for base in (self.BASE, pow(self.BASE, -1, 2**64)):
+            x = np.full(max(n, 1 << 14), base, np.uint64)
+            x[0] = 1
+            made.append(np.cumprod(x))
+        if n <= self.KEPT:
+            self.powers, self.inverses = made
+        return made[0], made[1]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.empty(0, np.uint64)
+        flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+        powers, inverses = self._grow(len(flat))
+        end = np.flatnonzero(flat == 32)
+        start = np.concatenate(([0], end[:-1] + 1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * powers[: len(flat)], dtype=np.uint64)))
+        return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` words, by start; none for shorter texts."""
     n = len(hashes) - size + 1
