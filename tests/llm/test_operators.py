@@ -416,6 +416,18 @@ def test_reduction_keeps_the_optimum(case):
     assert placed == Counter(items)
 
 
+def test_plan_of_many_dominated_pairs_is_short():
+    counts = {3000: 200_000, 1000: 250_000, 2900: 90_000, 1100: 60_000}
+    plan = best_fit_packing.make_plan(counts)
+    assert len(plan.patterns) < 20
+    placed = Counter()
+    for runs, n in plan.patterns:
+        assert sum(s * c for s, c in runs) <= plan.capacity
+        placed.update({s: c * n for s, c in runs})
+    # No two large ones share a bin and each has room for one small one; the other 20,000 go by fours.
+    assert placed == counts and plan.bins == 290_000 + 20_000 // 4
+
+
 def test_packing(spark, odd, empty):
     rnd = random.Random(8)
     docs = documents(spark, [(i, prose(rnd, rnd.choice([1, 5, 40, 300, 2500]))) for i in range(60)]).union(odd)

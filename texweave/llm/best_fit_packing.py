@@ -93,9 +93,9 @@ def reduce_dominated(counts: dict[int, int], plan: Plan) -> dict[int, int]:
             k = sizes[at]
             if j + k != plan.capacity and not _dominates(left, sizes, j, k, room):
                 break
+            # As long as j and k are left, k stays the largest that fits and fewer
+            # others cannot fill the room better: all such bins are fixed at once.
             n = left[j] // 2 if k == j else min(left[j], left[k])
-            # Only an exact fill stays dominating whatever is left; else go step by step.
-            n = n if j + k == plan.capacity else 1
             plan.patterns.append(([(j, 2)] if k == j else [(j, 1), (k, 1)], n))
             take(j, 2 * n if k == j else n)
             if k != j:
