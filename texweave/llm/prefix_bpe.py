@@ -229,8 +229,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     Null texts count as empty (no tokens; the hashes are those of no bytes).
     Repeated rows are encoded each; other columns are ignored; an empty table
-    gives an empty result. One pass, no shuffle. The rank file (bounded by the
-    vocabulary) is read on the driver and broadcast.
+    gives an empty result. Very long texts cost in proportion to their length.
+    One pass, no shuffle. The rank file (bounded by the vocabulary) is read on
+    the driver and broadcast.
     """
     ranks = load_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
