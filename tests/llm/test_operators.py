@@ -161,6 +161,46 @@ def test_repeats_hidden_by_a_common_line(spark):
     assert {x[0] for x in found} == {201, 202} and all(x[2:] == (30, 90) for x in found)
 
 
+def test_repeats_behind_chains_of_partial_holders(spark):
+    """Partial holders before and after the holders of a passage, which together have every two places of it, hide none of these."""
+    rnd = random.Random(16)
+    rows = []
+    for n in range(8):
+        passage = prose(rnd, 50).split()
+        parts = [passage[:44], passage[6:], [*passage[:20], "x", *passage[21:30], "y", *passage[31:]]]
+        for k, part in enumerate([*parts, *[passage] * 3, *parts]):
+            rows.append((10 * n + k, " ".join([prose(rnd, 30), *part, prose(rnd, 30)])))
+    found = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"]} for r in compact_windows.spans(compact_windows.passages(documents(spark, rows))).collect()}
+    assert all(any(a <= 30 and b >= 80 for a, b in found.get(10 * n + k, ())) for n in range(8) for k in (4, 5))
+
+
+@pytest.mark.parametrize("few", [2, 32])
+def test_families_of_edited_passages_leave_no_word_out(spark, monkeypatch, few):
+    """What any two texts of a family share as a repeat is covered in the later one; by keys, and by comparing all."""
+    monkeypatch.setattr(compact_windows, "FEW", few)
+    rnd = random.Random(17)
+    rows = []
+    for n in range(3):
+        passage = prose(rnd, 110).split()
+        for k in range(45):
+            part = list(passage)
+            for _ in range(rnd.randint(2, 6)):
+                at = rnd.randrange(len(part))
+                part[at : at + rnd.choice((0, 1, 1, 1, 4))] = prose(rnd, rnd.choice((0, 1, 1, 1, 6))).split()
+            rows.append((100 * n + k, " ".join([prose(rnd, rnd.randint(0, 9)), *part, prose(rnd, 9)])))
+    hashes = compact_windows.WordHashes()
+    tokens = {i: (compact_windows.tokens(t.encode().split(), hashes) >> np.uint64(32)).astype("<u4") for i, t in rows}
+    want = {i: set() for i in tokens}
+    for i in tokens:
+        for j in range(i // 100 * 100, i):
+            earlier = compact_windows.Ranked(tokens[j])
+            want[i].update(*(range(*r) for r in compact_windows.repeated(tokens[i], earlier, compact_windows.diagonals(tokens[i], earlier))))
+    got = {i: set() for i in tokens}
+    for r in compact_windows.passages(documents(spark, rows)).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert got == want and sum(map(len, want.values())) > 3000
+
+
 def test_recall_of_passages(spark):
     """Edited passages of over 50 words, against all pairs of texts compared along their diagonals."""
     rnd = random.Random(15)

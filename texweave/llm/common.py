@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where lineage is cut in a local session that names no ``spark.checkpoint.dir``.
 LOCAL_CHECKPOINTS = "file:///tmp/texweave-checkpoints"
+#: Spark's setting that deletes a query's shuffles when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +34,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 
     Survives lost executors; Spark deletes the files with the last reference
-    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on. The shuffles
+    that made it are deleted as soon as it is written, not when the driver
+    happens to collect its garbage.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(True)
+        context.setCheckpointDir(checkpoint_dir(spark))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(True)  # a frame takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def release(spark: SparkSession) -> None:
@@ -82,7 +95,8 @@ class WordHashes:
     def __init__(self) -> None:
         self.powers = self.inverses = np.empty(0, np.uint64)
 
-    def _grow(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers_of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``n`` powers of BASE or more, and their inverses."""
         if len(self.powers) >= n:
             return self.powers, self.inverses
         made = []
@@ -98,7 +112,7 @@ class WordHashes:
         if not words:
             return np.empty(0, np.uint64)
         flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        powers, inverses = self._grow(len(flat))
+        powers, inverses = self.powers_of(len(flat))
         end = np.flatnonzero(flat == 32)
         start = np.concatenate(([0], end[:-1] + 1))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * powers[: len(flat)], dtype=np.uint64)))

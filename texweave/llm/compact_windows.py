@@ -15,15 +15,23 @@ a candidate. Candidates are verified along their diagonal: a
 stretch counts as repeated if its words match the earlier text's at a Jaccard
 similarity of 0.8 or more.
 
-The first text may hold only a part of what others share. Minima that no repeat
-found covers are therefore joined again together with each group of TILE tokens
-beside them, up to a whole passage away: texts that share more than the part
-meet in the tiles beyond it, in stars around the first and the last, so that a
-stock phrase in thousands of texts still costs thousands of links.
+The first text may hold only a part of what others share, so that a repeat of
+a later one stays without a pair. What no passage covers is therefore joined
+again exactly. A stretch that repeats an earlier one leaves five of its tokens
+unmatched at most, and a word inside that differs takes four or five, so what
+two texts share is a run of NEED tokens, or two runs of as many together around
+one gap, the longer of RUN tokens or more. A key stands for each way to choose
+these: texts that have the key all repeat each other there, so that the star
+around its first text loses nothing and is linear however many texts have it.
+Since a token has hundreds of such keys, they are only made where shorter runs
+are shared (a compact window of RUN tokens, runs beside its minimum, a run of
+RUN) and by the task that has all texts with such a run, so that no key leaves
+it. Up to FEW texts with a run are all compared instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -42,14 +50,25 @@ SIMILARITY = 0.8
 HASHES = 5
 #: Hash functions whose intervals of starts must meet, and the starts that count as one place.
 ENOUGH, CELL = 2, 46
-#: Tokens of a tile beside the uncovered minima, of one hash function, that are joined again.
-TILE = 5
+#: Tokens of a least passage, of these the matched ones that make it a repeat, and those of the longer of two runs that hold them.
+WIDTH = MIN_WORDS - SIZE + 1
+NEED = math.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY))
+RUN = NEED // 2 + 1
 #: Tokens that two texts must share on a diagonal to be compared along it.
 ON_DIAGONAL = 6
 #: Texts that are compared with one copy of an earlier text.
 PART = 100
 #: Words by which aligned passages may drift (insertions, deletions).
 DRIFT = 8
+#: Gaps between two runs: in tokens, those of the text that repeats (one word less, or another), and of the one it repeats.
+OWN_GAPS = (SIZE - 1, SIZE)
+GAPS = np.arange(SIZE - 1, SIZE + DRIFT + 1)
+#: Texts with a run of RUN that are all compared with each other.
+FEW = 32
+#: Tokens before and behind a run of RUN that the keys with it may hold.
+BESIDE = NEED - RUN + int(GAPS[-1])
+#: Rows that a task hands on at once.
+ROWS = 1 << 14
 U = np.uint64
 SEEDS = [U(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k in range(HASHES)]
 
@@ -98,21 +117,27 @@ def _starts(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 @trimmed
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each text: minima as 64-bit integers (the token, its three low bits the hash function), and their places (center, first and last start before it)."""
+    """The windows of each text: minima as 64-bit integers (the token, its three low bits the hash function), and their places (center, first and last start before it).
+
+    With the minima of the shorter windows of RUN tokens of the first function, and a digest of all tokens.
+    """
     hashes = WordHashes()
-    width = MIN_WORDS - SIZE + 1
     for batch in batches:
-        docs, keys, places = [], [], []
+        docs, keys, places, short, digests = [], [], [], [], []
         for doc_id, raw in zip(batch.column(0), batch.column(1)):
             found = tokens(raw.as_py().split(), hashes)
-            if len(found) < width:
+            if len(found) < WIDTH:
                 continue
-            made = [_starts(mix(found ^ seed), width) for seed in SEEDS]
+            mixed = [mix(found ^ seed) for seed in SEEDS]
+            made = [_starts(x, WIDTH) for x in mixed]
             minima = [found[c] >> U(3) << U(3) | U(fn) for fn, (_, c, _) in enumerate(made)]
             docs.append(doc_id.as_py())
             keys.append(np.concatenate(minima).tobytes())
             places.append(np.concatenate([c << 12 | c - low << 6 | c - high for low, c, high in made]).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.binary())], names=["id", "keys", "places"])
+            short.append(np.unique(found[_starts(mixed[0], RUN)[1]]).tobytes())
+            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+        columns = [pa.array(x, pa.binary()) for x in (keys, places, short, digests)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], names=["id", "keys", "places", "short", "digest"])
 
 
 @trimmed
@@ -138,14 +163,13 @@ def starred(rows: DataFrame) -> DataFrame:
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """``id, keys, places``: each text's windows in one row. Texts are tokenised once, before a cut."""
-    return cut(rows.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_windows, "id long, keys binary, places binary"))
+    """``id, keys, places, short, digest``: each text's windows in one row. Texts are tokenised once, before a cut."""
+    return cut(rows.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_windows, "id long, keys binary, places binary, short binary, digest binary"))
 
 
-def shared(packed: DataFrame, functions: int = HASHES) -> DataFrame:
-    """``id, key, place, first, last``: the windows whose minima, under the first ``functions``, more than one text has."""
-    spread = packed.mapInArrow(_spread, "id long, key long, place long")
-    return starred(spread if functions == HASHES else spread.filter(F.col("key").bitwiseAND(7) < functions))
+def shared(packed: DataFrame) -> DataFrame:
+    """``id, key, place, first, last``: the windows whose minima more than one text has."""
+    return starred(packed.select("id", "keys", "places").mapInArrow(_spread, "id long, key long, place long"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -168,32 +192,180 @@ def candidates(met: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return _pairs(bits.filter(F.bit_count("bits") >= enough).select("id", "hub"))
 
 
-#: Where tiles start beside a minimum, up to a whole passage away.
-ASIDE = np.array([*range(-(MIN_WORDS - SIZE), -TILE + 1, TILE), *range(1, MIN_WORDS - SIZE - TILE + 2, TILE)])
+class Runs:
+    """Hashes of all runs of a text's tokens, from one running sum, and which stretches no passage covers."""
 
+    def __init__(self, values: np.ndarray, hashes: WordHashes, ranges: np.ndarray) -> None:
+        self.values, self.n = values, len(values)
+        powers, self.inverses = hashes.powers_of(self.n + 1)
+        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(values * powers[: self.n], dtype=U)))
+        reach = np.full(self.n, -1)
+        np.maximum.at(reach, ranges[:, 0], ranges[:, 1] - SIZE)
+        #: For each token the furthest that one passage covers which starts there or before.
+        self.reach = np.maximum.accumulate(reach)
+        self.stretches = np.concatenate(([0], np.cumsum(self.open(np.arange(self.n - WIDTH + 1), WIDTH))))
 
-@trimmed
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys for the minima of a text and each tile beside them: of all its minima, and of the open ones among these."""
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """A hash for each run; 0 for those that do not lie in the text."""
+        inside = (start >= 0) & (start + length <= self.n)
+        at = np.where(inside, start, 0)
+        return np.where(inside, mix((self.sums[np.where(inside, at + length, 0)] - self.sums[at]) * self.inverses[at]), U(0))
+
+    def open(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Whether no single passage covers the runs."""
+        return self.reach[np.clip(start, 0, self.n - 1)] < start + length - 1
+
+    def open_around(self, start: np.ndarray, length: int) -> np.ndarray:
+        """Whether some stretch of WIDTH that holds the run (of WIDTH or less) is open."""
+        low, high = np.maximum(start + length - WIDTH, 0), np.minimum(start, self.n - WIDTH)
+        return self.stretches[high + 1] > self.stretches[low]
+
+
+def _keyed(kind: int, found: np.ndarray) -> np.ndarray:
+    return np.where(found != 0, mix(found ^ SEEDS[kind]), U(0))
+
+
+def _halves(runs: Runs, c: np.ndarray) -> np.ndarray:
+    """Keys of the runs on both sides of minima: one of them is in any run of RUN tokens with the minimum."""
+    half = RUN // 2 + 1
+    return np.stack([_keyed(1, runs.of(c, half)), _keyed(2, runs.of(c - half + 1, half))], axis=1)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Runs, np.ndarray, np.ndarray]]:
+    """Texts with their live keys, and those of them where they are open and have an earlier text."""
     unpack, hashes = zstandard.ZstdDecompressor(), WordHashes()
     for batch in batches:
-        ids, found, still = [], [], []
-        for one, minima, packed in zip(*(batch.column(c) for c in ("id", "x", "packed"))):
+        for one, live, later, packed, ranges in zip(*(batch.column(c) for c in ("id", "live", "later", "packed", "ranges"))):
             values = tokens(unpack.decompress(packed.as_py()).split(), hashes)
-            tile = shingles(values, TILE)
-            key, at, is_open = (minima.values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "open"))
-            start = at.astype(np.int64)[:, None] + ASIDE
-            there = (start >= 0) & (start < len(tile))
-            beside = mix(tile[np.clip(start, 0, len(tile) - 1)] + (ASIDE + 100).astype(U) * SEEDS[0])
-            keys = mix(key.view(U)[:, None] ^ beside)
-            ids.append(one.as_py())
+            covered = np.array([(r["start"], r["end"]) for r in ranges.as_py() or ()], np.int64).reshape(-1, 2)
+            yield one.as_py(), Runs(values, hashes, covered), *(x.values.to_numpy(zero_copy_only=False).view(U) for x in (live, later))
+
+
+def _level(level: int):
+    """Of texts with live minima the keys beside these (1); of those with live keys the runs of RUN with the minimum (2)."""
+
+    @trimmed
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, still = [], [], []
+        for one, runs, live, later in _runs_of(batches):
+            low, c, high = _starts(mix(runs.values ^ SEEDS[0]), RUN)
+            before = runs.values[c][:, None] if level == 1 else _halves(runs, c)
+            holds, is_open = np.isin(before, live).any(axis=1), np.isin(before, later).any(axis=1)
+            low, c, many, is_open = low[holds], c[holds], (high - low + 1)[holds], is_open[holds]
+            if level == 1:
+                keys, is_open = _halves(runs, c), (is_open & runs.open_around(c, 1))[:, None]
+            else:
+                p = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                keys, is_open = _keyed(3, runs.of(p, RUN)), np.repeat(is_open, many) & runs.open_around(p, RUN)
+            there = keys != 0
+            ids.append(one)
             found.append(np.unique(keys[there]).tobytes())
-            still.append(np.unique(keys[there & is_open[:, None]]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()), pa.array(still, pa.binary())], names=["id", "keys", "open"])
+            still.append(np.unique(keys[there & is_open]).tobytes())
+            if len(ids) == 1024:
+                yield _packed_keys(ids, found, still)
+                ids, found, still = [], [], []
+        yield _packed_keys(ids, found, still)
+
+    return made
+
 
+def _packed_keys(ids: list[int], found: list[bytes], still: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()), pa.array(still, pa.binary())], names=["id", "keys", "open"])
+
+
+@trimmed
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The live runs of RUN with the tokens around them and, for each start up to the run, how far a passage covers them (from the run); empty where the text is not open."""
+    for one, runs, live, later in _runs_of(batches):
+        p = np.arange(runs.n - RUN + 1)
+        keys = _keyed(3, runs.of(p, RUN))
+        p = p[np.isin(keys, live)]
+        is_open = np.isin(keys[p], later) & runs.open_around(p, RUN)
+        for some in np.array_split(np.arange(len(p)), -(-len(p) // ROWS)):
+            at = p[some][:, None] + np.arange(-BESIDE, RUN + BESIDE)
+            inside = (at >= 0) & (at < runs.n)
+            # Places outside the text are unlike any others.
+            near = np.where(inside, runs.values[np.clip(at, 0, runs.n - 1)], mix(at.view(U) + mix(np.full(1, one, np.int64).view(U)))) >> U(32)
+            reach = np.clip(runs.reach[np.clip(at[:, : BESIDE + 1], 0, runs.n - 1)] - p[some][:, None], -BESIDE - 1, 2 * BESIDE).astype(np.int8)
+            columns = [pa.array(np.full(len(some), one)), pa.array(keys[p[some]].view(np.int64)), pa.array([x.tobytes() for x in near.astype("<u4")], pa.binary()), pa.array([x.tobytes() if o else b"" for x, o in zip(reach, is_open[some])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "near", "reach"])
+
+
+def _firsts(ids: np.ndarray, near: np.ndarray, reach: np.ndarray, is_open: np.ndarray, powers: np.ndarray, inverses: np.ndarray) -> np.ndarray:
+    """Links (id, hub) between the texts with one run of RUN, by id: of each key of NEED tokens with that run as the longer one, open texts with the first."""
+    sums = np.concatenate((np.zeros((len(ids), 1), U), np.cumsum(mix(near.astype(U)) * powers[: near.shape[1]], axis=1, dtype=U)), axis=1)
+    links, own, owner = [], np.flatnonzero(is_open), ids[is_open]
+
+    def run(start: int, length: int) -> np.ndarray:
+        start += BESIDE
+        return (sums[:, start + length] - sums[:, start]) * inverses[start]
+
+    def join(keys: list[np.ndarray], ours: list[tuple[int, np.ndarray]]) -> None:
+        """keys: columns of a key for each text; ours: which of these are the text's own, and whether it is open there."""
+        if not any(still.any() for _, still in ours):
+            return
+        table = np.stack(keys, axis=1)
+        known, at = np.unique(table, return_index=True)
+        for column, still in ours:
+            mine = own[still]
+            hub = ids[at[np.searchsorted(known, table[mine, column])] // table.shape[1]]
+            links.append(np.stack([ids[mine], hub], axis=1)[hub < ids[mine]])
+
+    def still(start: int, length: int) -> np.ndarray:
+        return reach[:, start + BESIDE] < start + length - 1
+
+    for e in range(NEED - RUN + 1):
+        join([run(-e, NEED)], [(0, still(-e, NEED))])
+    close = GAPS[:-1].tolist()  # within DRIFT of both OWN_GAPS, the last only of the longer
+    far = [OWN_GAPS[1], int(GAPS[-1])]
+    for e in range(NEED - RUN):
+        more = NEED - RUN - e
+        left, right = mix(run(-e, RUN + e)), mix(run(0, RUN + e))
+        for gaps in (close, far):
+            join([mix(left + run(RUN + g, more)) for g in gaps], [(k, still(-e, NEED + g)) for k, g in enumerate(gaps) if g in OWN_GAPS])
+            join([mix(right + run(-g - more, more)) for g in gaps], [(k, still(-g - more, NEED + g)) for k, g in enumerate(gaps) if g in OWN_GAPS])
+    return np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 2), np.int64)
+
+
+@trimmed
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_around`` sorted by key and id -> distinct links of each key."""
+    powers, inverses = WordHashes().powers_of(RUN + 2 * BESIDE + 1)
+    rest: list[pa.RecordBatch] = []
+
+    def linked(some: pa.Table) -> np.ndarray:
+        some = some.combine_chunks()
+        ids, opened = some["id"].to_numpy(), some["reach"].to_pylist()
+        near = np.frombuffer(b"".join(some["near"].to_pylist()), "<u4").reshape(len(ids), -1)
+        is_open = np.array([len(x) > 0 for x in opened])
+        reach = np.frombuffer(b"".join(opened), np.int8).reshape(-1, BESIDE + 1)
+        return _firsts(ids, near, reach, is_open, powers, inverses)
+
+    def whole(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = held["key"].to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        found = [linked(held.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:])]
+        links = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["id", "hub"])
 
-def _spread_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text and tile."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # All but the last key of a batch are complete.
+        keys = batch.column("key").to_numpy()
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if rest and (last or rest[0].column("key")[0].as_py() != int(keys[0])):
+            yield from whole(pa.Table.from_batches([*rest, batch.slice(0, last)]))
+            rest = []
+        elif last:
+            yield from whole(pa.Table.from_batches([batch.slice(0, last)]))
+        rest.append(batch.slice(last))
+    if rest:
+        yield from whole(pa.Table.from_batches(rest))
+
+
+def _spread_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text and key."""
     for batch in batches:
         if batch.num_rows:
             keys, still = ([np.frombuffer(x.as_py(), U) for x in batch.column(c)] for c in (1, 2))
@@ -203,30 +375,35 @@ def _spread_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def others(packed: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that ``candidates`` left out: minima of a text that none of its passages ``found`` covers, joined again by their tiles.
+    """The pairs that ``candidates`` left out: with the first text of every key of NEED tokens that no passage ``found`` covers in a later one.
 
-    The first hash function is enough, as texts that share a stretch share its
-    minimum. Of the other texts with such a minimum those count that may hold
-    more around it than an earlier one: a passage that covers all stretches
-    with the minimum is held by the text that it repeats.
+    Of texts with equal tokens the first stands for all, and the others are
+    paired with it. A key goes on to the next level if a text that is open
+    there has an earlier one with the key.
     """
-    some = cut(shared(packed, 1).select("id", "key", F.shiftright("place", 12).cast("int").alias("at"), "first"))
-    ranges = found.select("doc_id", "start_word", (F.col("end_word") - SIZE).alias("last_token")).distinct()
-    ours = some["id"] == ranges["doc_id"]
-    covered = ours & F.col("at").between(F.col("start_word"), F.col("last_token"))
-    reach = MIN_WORDS - SIZE
-    far_covered = ours & (F.col("start_word") <= F.greatest(F.col("at") - reach, F.lit(0))) & (F.col("last_token") >= F.col("at") + reach)
-    still = cut(some.filter("id > first").join(ranges, covered, "left_anti").select("id", "key", "at").distinct())
-    holders = some.join(still.select("key").distinct(), "key", "left_semi").join(ranges, far_covered, "left_anti").select("id", "key", "at").distinct()
-    live = holders.withColumn("open", F.lit(False)).union(still.withColumn("open", F.lit(True))).groupBy("id", "key", "at").agg(F.max("open").alias("open"))
-    lists = live.groupBy("id").agg(F.collect_list(F.struct("key", "at", "open")).alias("x"))  # windows of one text
-    tiles = cut(lists.join(texts, "id").mapInArrow(_tiles, "id long, keys binary, open binary")).mapInArrow(_spread_tiles, "id long, key long, open boolean")
-    # A pair counts if its later text is open where they meet.
-    stars = tiles.groupBy("key").agg(F.min("id").alias("first"), F.max(F.struct("id", "open")).alias("last"), F.max("open").alias("any")).filter("any and first < last.id")
-    met = tiles.join(stars, "key").filter("open or last.open")
-    hubs = F.array(F.when(F.col("open"), F.col("first")), F.when(F.col("last.open"), F.col("last.id")))
-    ends = met.select("id", F.explode(hubs).alias("hub")).filter("hub <> id").distinct()
-    return _pairs(ends).join(pairs, ["doc_id", "src_id"], "left_anti")
+    firsts = packed.groupBy("digest").agg(F.min("id").alias("hub"))
+    copies = packed.select("id", "digest").join(firsts, "digest").filter("id > hub").select("id", "hub")
+    ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"))).alias("ranges"))
+    held = texts.join(ranges, texts["id"] == ranges["doc_id"], "left").select("id", "packed", "ranges")
+    short = packed.join(firsts, packed["id"] == firsts["hub"], "left_semi").select("id", F.col("short").alias("keys"), F.col("short").alias("open"))
+    made = cut(short)
+    for level in range(1, 4):
+        rows = made.mapInArrow(_spread_level, "id long, key long, open boolean")
+        last = F.max(F.when(F.col("open"), F.col("id"))).alias("last")
+        stars = rows.groupBy("key").agg(F.min("id").alias("first"), last, F.count(F.lit(1)).alias("many")).filter("first < last")
+        if level == 3:
+            stars = cut(stars)
+            few = rows.join(stars.filter(F.col("many") <= FEW), "key").groupBy("key").agg(F.collect_list(F.struct("id", "open")).alias("x"))  # FEW at most
+            ends = few.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a.open and a.id > b.id")
+            met = copies.union(ends.select(F.col("a.id").alias("id"), F.col("b.id").alias("hub")))
+            stars = stars.filter(F.col("many") > FEW)
+        later = F.when(F.col("open") & (F.col("id") > F.col("first")), F.col("key"))
+        live = rows.join(stars, "key").groupBy("id").agg(F.collect_list("key").alias("live"), F.collect_list(later).alias("later"))  # keys of one text
+        if level < 3:
+            made = cut(live.join(held, "id").mapInArrow(_level(level), "id long, keys binary, open binary"))
+    around = live.join(held, "id").mapInArrow(_around, "id long, key long, near binary, reach binary")
+    tied = around.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_links, "id long, hub long")
+    return _pairs(met.union(tied)).join(pairs, ["doc_id", "src_id"], "left_anti")
 
 
 class Ranked:
@@ -383,7 +560,7 @@ def _found(rows: DataFrame) -> DataFrame:
     texts = rows.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_pack, "id long, packed binary").groupBy("id").agg(F.max("packed").alias("packed"))
     packed = windows(rows)
     pairs = cut(candidates(shared(packed)))
-    release(rows.sparkSession)
+    texts = cut(texts)
     found = cut(_compared(pairs, texts))
     rest = cut(others(packed, pairs, found, texts))
     release(rows.sparkSession)
