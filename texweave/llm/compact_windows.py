@@ -67,6 +67,8 @@ GAPS = np.arange(SIZE - 1, SIZE + DRIFT + 1)
 FEW = 32
 #: Tokens before and behind a run of RUN that the keys with it may hold.
 BESIDE = NEED - RUN + int(GAPS[-1])
+#: Beyond all tokens that the keys with a run may hold.
+COVERED = 127
 #: Rows that a task hands on at once.
 ROWS = 1 << 14
 U = np.uint64
@@ -285,16 +287,21 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = p[some][:, None] + np.arange(-BESIDE, RUN + BESIDE)
             inside = (at >= 0) & (at < runs.n)
             # Places outside the text are unlike any others.
-            near = np.where(inside, runs.values[np.clip(at, 0, runs.n - 1)], mix(at.view(U) + mix(np.full(1, one, np.int64).view(U)))) >> U(32)
-            reach = np.clip(runs.reach[np.clip(at[:, : BESIDE + 1], 0, runs.n - 1)] - p[some][:, None], -BESIDE - 1, 2 * BESIDE).astype(np.int8)
-            columns = [pa.array(np.full(len(some), one)), pa.array(keys[p[some]].view(np.int64)), pa.array([x.tobytes() for x in near.astype("<u4")], pa.binary()), pa.array([x.tobytes() if o else b"" for x, o in zip(reach, is_open[some])], pa.binary())]
+            near = (np.where(inside, runs.values[np.clip(at, 0, runs.n - 1)], mix(at.view(U) + mix(np.full(1, one, np.int64).view(U)))) >> U(32)).astype("<u4")
+            reach = np.clip(runs.reach[np.clip(at[:, : BESIDE + 1], 0, runs.n - 1)] - p[some][:, None], -BESIDE - 1, COVERED).astype(np.int8)
+            reach[~is_open[some]] = COVERED
+            # Places that are alike make the same keys: one row stands for a loop.
+            _, first, like = np.unique(near.view(np.dtype((np.void, near.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+            least = np.full((len(first), BESIDE + 1), COVERED, np.int8)
+            np.minimum.at(least, like.ravel(), reach)
+            columns = [pa.array(np.full(len(first), one)), pa.array(keys[p[some][first]].view(np.int64)), pa.array([x.tobytes() for x in near[first]], pa.binary()), pa.array([x.tobytes() if o else b"" for x, o in zip(least, (least < COVERED).any(axis=1))], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "near", "reach"])
 
 
 def _firsts(ids: np.ndarray, near: np.ndarray, reach: np.ndarray, is_open: np.ndarray, powers: np.ndarray, inverses: np.ndarray) -> np.ndarray:
     """Links (id, hub) between the texts with one run of RUN, by id: of each key of NEED tokens with that run as the longer one, open texts with the first."""
     sums = np.concatenate((np.zeros((len(ids), 1), U), np.cumsum(mix(near.astype(U)) * powers[: near.shape[1]], axis=1, dtype=U)), axis=1)
-    links, own, owner = [], np.flatnonzero(is_open), ids[is_open]
+    links, own = [np.empty(0, np.int64)], np.flatnonzero(is_open)
 
     def run(start: int, length: int) -> np.ndarray:
         start += BESIDE
@@ -308,8 +315,8 @@ def _firsts(ids: np.ndarray, near: np.ndarray, reach: np.ndarray, is_open: np.nd
         known, at = np.unique(table, return_index=True)
         for column, still in ours:
             mine = own[still]
-            hub = ids[at[np.searchsorted(known, table[mine, column])] // table.shape[1]]
-            links.append(np.stack([ids[mine], hub], axis=1)[hub < ids[mine]])
+            hub = at[np.searchsorted(known, table[mine, column])] // table.shape[1]
+            links.append(np.unique((mine * len(ids) + hub)[ids[hub] < ids[mine]]))
 
     def still(start: int, length: int) -> np.ndarray:
         return reach[:, start + BESIDE] < start + length - 1
@@ -324,7 +331,8 @@ def _firsts(ids: np.ndarray, near: np.ndarray, reach: np.ndarray, is_open: np.nd
         for gaps in (close, far):
             join([mix(left + run(RUN + g, more)) for g in gaps], [(k, still(-e, NEED + g)) for k, g in enumerate(gaps) if g in OWN_GAPS])
             join([mix(right + run(-g - more, more)) for g in gaps], [(k, still(-g - more, NEED + g)) for k, g in enumerate(gaps) if g in OWN_GAPS])
-    return np.unique(np.concatenate(links), axis=0) if links else np.empty((0, 2), np.int64)
+    found = np.unique(np.concatenate(links))
+    return np.stack([ids[found // len(ids)], ids[found % len(ids)]], axis=1)
 
 
 @trimmed
@@ -344,8 +352,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def whole(held: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = held["key"].to_numpy()
         edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        found = [linked(held.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:])]
-        links = np.unique(np.concatenate(found), axis=0)
+        links = np.concatenate([linked(held.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:])])
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["id", "hub"])
 
     for batch in batches:
@@ -402,7 +409,7 @@ def others(packed: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFra
         if level < 3:
             made = cut(live.join(held, "id").mapInArrow(_level(level), "id long, keys binary, open binary"))
     around = live.join(held, "id").mapInArrow(_around, "id long, key long, near binary, reach binary")
-    tied = around.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_links, "id long, hub long")
+    tied = cut(around.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_links, "id long, hub long").distinct())
     return _pairs(met.union(tied)).join(pairs, ["doc_id", "src_id"], "left_anti")
 
 
