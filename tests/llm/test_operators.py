@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -201,6 +202,60 @@ def test_families_of_edited_passages_leave_no_word_out(spark, monkeypatch, few):
     assert got == want and sum(map(len, want.values())) > 3000
 
 
+def test_windows_of_many_texts_are_made_together(monkeypatch):
+    """A batch of short texts takes few steps over all of them, not some for each, and each text has the windows that it has alone."""
+    rnd = random.Random(18)
+    texts = [prose(rnd, rnd.choice((0, 3, 49, 50, 51, 60, 120))) for _ in range(400)] + ["", " ", prose(rnd, 30000), "a\x0bb\x1cc \t\r\n\x0cd\u00a0e " + prose(rnd, 50), "tick tock " * 60]
+    raws = [t.encode() for t in texts]
+    steps = []
+    monkeypatch.setattr(compact_windows, "mix", lambda x, mix=compact_windows.mix: steps.append(len(x)) or mix(x))
+
+    def made(some):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], names=["id", "raw"])
+        found = (r for b in compact_windows._windows.__wrapped__(iter([batch])) for r in b.to_pylist())
+        unpacked = lambda x: np.frombuffer(x, "<i8").tolist()
+        return {r["id"]: (sorted(zip(unpacked(r["keys"]), unpacked(r["places"]))), sorted(unpacked(r["short"])), r["digest"]) for r in found}
+
+    together = made(list(enumerate(raws)))
+    assert len(steps) < 100
+    assert together == {i: x for k in enumerate(raws) for i, x in made([k]).items()}
+    hashes = compact_windows.WordHashes()
+    for i, raw in enumerate(raws):
+        values = compact_windows.tokens(raw.split(), hashes)
+        assert (i in together) == (len(values) >= compact_windows.WIDTH)
+        if 0 < len(values) < 200 and i in together:
+            centers = sorted(c for seed in compact_windows.SEEDS for _, c, _ in compact_windows.compact_windows(compact_windows.mix(values ^ seed), compact_windows.WIDTH))
+            assert sorted(place >> 12 for _, place in together[i][0]) == centers
+
+
+def test_repeats_of_tokens_that_occur_often():
+    """Matches near a diagonal are all places within DRIFT, also where the earlier text has a token many times."""
+    rnd = np.random.default_rng(19)
+    found = 0
+    for trial in range(60):
+        kinds = (30, 300, 10**6)[trial % 3]
+        earlier = rnd.integers(0, kinds, 150).astype("<u4")
+        own = np.concatenate([rnd.integers(0, kinds, 20), np.delete(earlier[30:120], rnd.integers(0, 90, 2)), rnd.integers(0, kinds, 20)]).astype("<u4")
+        ranked = compact_windows.Ranked(earlier)
+        want, last = set(), None
+        for shift in sorted(compact_windows.diagonals(own, ranked)):
+            if last is not None and shift - last <= compact_windows.DRIFT // 2:
+                continue
+            last = shift
+            match = [any(own[i] == earlier[j] for j in range(max(0, i + shift - compact_windows.DRIFT), min(len(earlier), i + shift + compact_windows.DRIFT + 1))) for i in range(len(own))]
+            often = [x for x in earlier.tolist() if earlier.tolist().count(x) > 1]
+            if len(often) >= compact_windows.WIDTH:
+                match = [m or x in often for m, x in zip(match, own.tolist())]
+            good = [a for a in range(len(own) - compact_windows.WIDTH + 1) if sum(match[a : a + compact_windows.WIDTH]) >= compact_windows.NEED]
+            for a in good:
+                inside = [i for i in range(a, a + compact_windows.WIDTH) if match[i]]
+                want.update(range(inside[0], inside[-1] + compact_windows.SIZE))
+        got = {w for a, b in compact_windows.repeated(own, ranked, compact_windows.diagonals(own, ranked)) for w in range(a, b)}
+        assert want <= got and (kinds < 10**6 or got == want)
+        found += bool(want)
+    assert found > 40
+
+
 def test_recall_of_passages(spark):
     """Edited passages of over 50 words, against all pairs of texts compared along their diagonals."""
     rnd = random.Random(15)

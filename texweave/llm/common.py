@@ -118,6 +118,22 @@ class WordHashes:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[flat] * powers[: len(flat)], dtype=np.uint64)))
         return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
 
+    def of_texts(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words of some texts one after the other, and how many words each text has."""
+        flat = np.frombuffer(b" %b " % b" ".join(raws), np.uint8)
+        powers, inverses = self.powers_of(len(flat))
+        space = (flat == 32) | (flat - np.uint8(9) < 5)  # as bytes.split() has it
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        if not len(start):
+            return np.empty(0, np.uint64), np.zeros(len(raws), np.int64)
+        parts = _BYTES.take(flat)
+        parts *= powers[: len(flat)]
+        sums = np.cumsum(parts, out=parts)
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        counts = np.diff(np.searchsorted(start, ends), prepend=0)
+        return mix((sums[end - 1] - sums[start - 1]) * inverses[start] + (end - start).astype(np.uint64)), counts
+
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` words, by start; none for shorter texts."""

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +71,10 @@ BESIDE = NEED - RUN + int(GAPS[-1])
 COVERED = 127
 #: Rows that a task hands on at once.
 ROWS = 1 << 14
+#: Bytes of texts that are worked on at once: so many that short texts cost no calls of their own, so few that they stay near the processor.
+AT_ONCE = 1 << 17
+#: Rows of several runs of RUN that are joined at once.
+TOGETHER = 1 << 10
 U = np.uint64
 SEEDS = [U(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k in range(HASHES)]
 
@@ -94,27 +98,68 @@ def compact_windows(values: np.ndarray, width: int) -> list[tuple[int, int, int]
 
 
 def _starts(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The compact windows of ``width`` or more, by their stretches of ``width``: first start, center, last start.
+    """``_starts_of`` for one text alone."""
+    return _starts_of(values, width, np.zeros(1, np.int64), np.array([len(values)]))[1:]
+
+
+def _starts_of(values: np.ndarray, width: int, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The compact windows of ``width`` or more of texts (their first value and number), by their stretches of ``width``: text, first start, center, last start.
 
     A window (l, c, r) holds those that start in max(l, c - width + 1) ..
-    min(c, r - width + 1). Running minima of blocks from both sides give every
-    stretch's minimum at once; runs of one minimum are the windows.
+    min(c, r - width + 1). Minima of twice as many values at each step give
+    every stretch's minimum at once; runs of one minimum are the windows.
     """
     n = len(values)
     if n < width:
-        return (np.empty(0, np.int64),) * 3
-    blocks = -(-n // width)
+        return (np.empty(0, np.int64),) * 4
     # The low bits hold the position, so that ties go left and minima name their place.
     bits = max(1, (n - 1).bit_length())
-    marked = np.full(blocks * width, np.iinfo(np.uint64).max, U)
-    marked[:n] = (values >> U(bits) << U(bits)) | np.arange(n, dtype=U)
-    table = marked.reshape(blocks, width)
-    before = np.minimum.accumulate(table, axis=1).ravel()
-    after = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    lowest = np.minimum(after[: n - width + 1], before[width - 1 : n])
-    at = (lowest & U((1 << bits) - 1)).astype(np.int64)  # never falls from one stretch to the next
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return first, at[first], np.append(first[1:], len(at)) - 1
+    lowest, done = (values >> U(bits) << U(bits)) | np.arange(n, dtype=U), 1
+    while done < width:
+        step = min(done, width - done)
+        lowest, done = np.minimum(lowest[:-step], lowest[step:]), done + step
+    many = np.maximum(count - width + 1, 0)
+    start = _ranges(first, many)
+    at = (lowest[start] & U((1 << bits) - 1)).astype(np.int64)  # never falls from one stretch to the next
+    new = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), at[1:] != at[:-1])))
+    text = np.searchsorted(np.cumsum(many), new, side="right")
+    return text, start[new], at[new], start[np.append(new[1:], len(at))[: len(new)] - 1]
+
+
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``many`` numbers from each ``first``."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _some(raws: list[bytes]) -> Iterator[slice]:
+    """Slices of texts of AT_ONCE bytes, or of one longer text."""
+    low = held = 0
+    for k, raw in enumerate(raws):
+        if k > low and held + len(raw) > AT_ONCE:
+            yield slice(low, k)
+            low, held = k, 0
+        held += len(raw)
+    if low < len(raws):
+        yield slice(low, len(raws))
+
+
+def _tokens_of(raws: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some texts one after the other (with others between), and each text's first and number."""
+    found, words = hashes.of_texts(raws)
+    return shingles(found, SIZE), np.cumsum(words) - words, np.maximum(words - SIZE + 1, 0)
+
+
+def _binary(values: np.ndarray, many: np.ndarray) -> pa.Array:
+    """``values`` as bytes, ``many`` of them in each row."""
+    offsets = np.concatenate(([0], np.cumsum(many))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a column as ``_binary`` makes it, and how many each row has."""
+    rows = column.to_pylist()
+    values = np.frombuffer(b"".join(rows), kind)
+    return values, np.fromiter(map(len, rows), np.int64, len(rows)) // values.itemsize
 
 
 @trimmed
@@ -125,21 +170,41 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     hashes = WordHashes()
     for batch in batches:
-        docs, keys, places, short, digests = [], [], [], [], []
-        for doc_id, raw in zip(batch.column(0), batch.column(1)):
-            found = tokens(raw.as_py().split(), hashes)
-            if len(found) < WIDTH:
+        docs, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for some in _some(raws):
+            values, first, count = _tokens_of(raws[some], hashes)
+            held = np.flatnonzero(count >= WIDTH)
+            if not len(held):
                 continue
-            mixed = [mix(found ^ seed) for seed in SEEDS]
-            made = [_starts(x, WIDTH) for x in mixed]
-            minima = [found[c] >> U(3) << U(3) | U(fn) for fn, (_, c, _) in enumerate(made)]
-            docs.append(doc_id.as_py())
-            keys.append(np.concatenate(minima).tobytes())
-            places.append(np.concatenate([c << 12 | c - low << 6 | c - high for low, c, high in made]).astype("<i8").tobytes())
-            short.append(np.unique(found[_starts(mixed[0], RUN)[1]]).tobytes())
-            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-        columns = [pa.array(x, pa.binary()) for x in (keys, places, short, digests)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], names=["id", "keys", "places", "short", "digest"])
+            first, count = first[held], count[held]
+            texts, keys, places = [], [], []
+            for fn, seed in enumerate(SEEDS):
+                mixed = mix(values ^ seed)
+                text, low, c, high = _starts_of(mixed, WIDTH, first, count)
+                texts.append(text)
+                keys.append(values[c] >> U(3) << U(3) | U(fn))
+                places.append((c - first[text]) << 12 | c - low << 6 | c - high)
+                if fn == 0:
+                    text, _, c, _ = _starts_of(mixed, RUN, first, count)
+                    short_of, short, _ = _distinct(text, values[c], np.zeros(len(c), bool))
+            texts = np.concatenate(texts)
+            order = np.argsort(texts, kind="stable")
+            many = np.bincount(texts, minlength=len(held))
+            columns = [_binary(np.concatenate(x)[order], many) for x in (keys, places)]
+            columns.append(_binary(short, np.bincount(short_of, minlength=len(held))))
+            columns.append(pa.array([hashlib.blake2b(values[a : a + n].tobytes(), digest_size=16).digest() for a, n in zip(first, count)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[some][held], pa.int64()), *columns], names=["id", "keys", "places", "short", "digest"])
+
+
+def _distinct(text: np.ndarray, keys: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each text, and which are open anywhere in it; sorted by text, the open ones first."""
+    order = np.lexsort((~is_open, keys, text))
+    text, keys, is_open = text[order], keys[order], is_open[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    text, keys, is_open = text[new], keys[new], is_open[new]
+    order = np.lexsort((~is_open, text))
+    return text[order], keys[order], is_open[order]
 
 
 @trimmed
@@ -147,10 +212,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text and window."""
     for batch in batches:
         if batch.num_rows:
-            keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-            docs = np.repeat(batch.column(0).to_numpy(), list(map(len, keys)))
-            places = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.concatenate(keys)), pa.array(places)], names=["id", "key", "place"])
+            keys, many = _unpacked(batch.column(1), "<i8")
+            places, _ = _unpacked(batch.column(2), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(keys), pa.array(places)], names=["id", "key", "place"])
 
 
 def starred(rows: DataFrame) -> DataFrame:
@@ -158,10 +222,11 @@ def starred(rows: DataFrame) -> DataFrame:
 
     Keys of one text alone are dropped by an aggregate that combines before its
     shuffle; the join that follows is an equality that Spark can split where a
-    key is hot.
+    key is hot. It hashes the shared keys, which are few, instead of sorting
+    all rows.
     """
     stars = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return rows.join(stars, "key")
+    return rows.join(stars.hint("shuffle_hash"), "key")
 
 
 def windows(rows: DataFrame) -> DataFrame:
@@ -195,31 +260,36 @@ def candidates(met: DataFrame, enough: int = ENOUGH) -> DataFrame:
 
 
 class Runs:
-    """Hashes of all runs of a text's tokens, from one running sum, and which stretches no passage covers."""
-
-    def __init__(self, values: np.ndarray, hashes: WordHashes, ranges: np.ndarray) -> None:
-        self.values, self.n = values, len(values)
-        powers, self.inverses = hashes.powers_of(self.n + 1)
-        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(values * powers[: self.n], dtype=U)))
-        reach = np.full(self.n, -1)
-        np.maximum.at(reach, ranges[:, 0], ranges[:, 1] - SIZE)
-        #: For each token the furthest that one passage covers which starts there or before.
+    """Hashes of all runs of some texts' tokens, from one running sum, and which stretches no passage covers.
+
+    ``first`` and ``count`` are the texts' first tokens and numbers of tokens,
+    ``text`` of a place is which text it is in; ``ranges`` are passages in
+    words, by text, first and end. Each text has WIDTH tokens or more.
+    """
+
+    def __init__(self, values: np.ndarray, first: np.ndarray, count: np.ndarray, hashes: WordHashes, ranges: np.ndarray) -> None:
+        self.values, self.first, self.end = values, first, first + count
+        powers, self.inverses = hashes.powers_of(len(values) + 1)
+        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(values * powers[: len(values)], dtype=U)))
+        reach = np.full(len(values), -1)
+        np.maximum.at(reach, first[ranges[:, 0]] + ranges[:, 1], first[ranges[:, 0]] + ranges[:, 2] - SIZE)
+        #: For each token the furthest that one passage covers which starts there or before; what one of another text covers is never beyond the token.
         self.reach = np.maximum.accumulate(reach)
-        self.stretches = np.concatenate(([0], np.cumsum(self.open(np.arange(self.n - WIDTH + 1), WIDTH))))
+        self.stretches = np.concatenate(([0], np.cumsum(self.open(np.arange(len(values)), WIDTH))))
 
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    def of(self, text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
         """A hash for each run; 0 for those that do not lie in the text."""
-        inside = (start >= 0) & (start + length <= self.n)
+        inside = (start >= self.first[text]) & (start + length <= self.end[text])
         at = np.where(inside, start, 0)
         return np.where(inside, mix((self.sums[np.where(inside, at + length, 0)] - self.sums[at]) * self.inverses[at]), U(0))
 
-    def open(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    def open(self, start: np.ndarray, length: int) -> np.ndarray:
         """Whether no single passage covers the runs."""
-        return self.reach[np.clip(start, 0, self.n - 1)] < start + length - 1
+        return self.reach[start] < start + length - 1
 
-    def open_around(self, start: np.ndarray, length: int) -> np.ndarray:
+    def open_around(self, text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
         """Whether some stretch of WIDTH that holds the run (of WIDTH or less) is open."""
-        low, high = np.maximum(start + length - WIDTH, 0), np.minimum(start, self.n - WIDTH)
+        low, high = np.maximum(start + length - WIDTH, self.first[text]), np.minimum(start, self.end[text] - WIDTH)
         return self.stretches[high + 1] > self.stretches[low]
 
 
@@ -227,20 +297,37 @@ def _keyed(kind: int, found: np.ndarray) -> np.ndarray:
     return np.where(found != 0, mix(found ^ SEEDS[kind]), U(0))
 
 
-def _halves(runs: Runs, c: np.ndarray) -> np.ndarray:
+def _halves(runs: Runs, text: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Keys of the runs on both sides of minima: one of them is in any run of RUN tokens with the minimum."""
     half = RUN // 2 + 1
-    return np.stack([_keyed(1, runs.of(c, half)), _keyed(2, runs.of(c - half + 1, half))], axis=1)
+    return np.stack([_keyed(1, runs.of(text, c, half)), _keyed(2, runs.of(text, c - half + 1, half))], axis=1)
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Runs, np.ndarray, np.ndarray]]:
-    """Texts with their live keys, and those of them where they are open and have an earlier text."""
+class Held:
+    """Which keys each of some texts has."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.salts = mix(np.arange(1, len(rows) + 1, dtype=U))
+        self.keys = np.unique(np.concatenate(rows) ^ np.repeat(self.salts, list(map(len, rows))))
+
+    def has(self, text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        keys = keys ^ self.salts[text]
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Runs, Held, Held]]:
+    """Some texts at a time with their live keys, and those of them where they are open and have an earlier text."""
     unpack, hashes = zstandard.ZstdDecompressor(), WordHashes()
     for batch in batches:
-        for one, live, later, packed, ranges in zip(*(batch.column(c) for c in ("id", "live", "later", "packed", "ranges"))):
-            values = tokens(unpack.decompress(packed.as_py()).split(), hashes)
-            covered = np.array([(r["start"], r["end"]) for r in ranges.as_py() or ()], np.int64).reshape(-1, 2)
-            yield one.as_py(), Runs(values, hashes, covered), *(x.values.to_numpy(zero_copy_only=False).view(U) for x in (live, later))
+        ids, raws = batch.column("id").to_numpy(), [unpack.decompress(x) for x in batch.column("packed").to_pylist()]
+        live, later = ([x.values.to_numpy(zero_copy_only=False).view(U) for x in batch.column(c)] for c in ("live", "later"))
+        ranges = batch.column("ranges").to_pylist()
+        for some in _some(raws):
+            covered = [(k, r["start"], r["end"]) for k, rows in enumerate(ranges[some]) for r in rows or ()]
+            runs = Runs(*_tokens_of(raws[some], hashes), hashes, np.array(covered, np.int64).reshape(-1, 3))
+            yield ids[some], runs, Held(live[some]), Held(later[some])
 
 
 def _level(level: int):
@@ -248,89 +335,99 @@ def _level(level: int):
 
     @trimmed
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, still = [], [], []
-        for one, runs, live, later in _runs_of(batches):
-            low, c, high = _starts(mix(runs.values ^ SEEDS[0]), RUN)
-            before = runs.values[c][:, None] if level == 1 else _halves(runs, c)
-            holds, is_open = np.isin(before, live).any(axis=1), np.isin(before, later).any(axis=1)
-            low, c, many, is_open = low[holds], c[holds], (high - low + 1)[holds], is_open[holds]
+        for ids, runs, live, later in _runs_of(batches):
+            text, low, c, high = _starts_of(mix(runs.values ^ SEEDS[0]), RUN, runs.first, runs.end - runs.first)
+            before = runs.values[c][:, None] if level == 1 else _halves(runs, text, c)
+            holds = np.any([live.has(text, x) for x in before.T], axis=0)
+            text, low, c, high, before = text[holds], low[holds], c[holds], high[holds], before[holds]
+            is_open = np.any([later.has(text, x) for x in before.T], axis=0)
             if level == 1:
-                keys, is_open = _halves(runs, c), (is_open & runs.open_around(c, 1))[:, None]
+                is_open &= runs.open_around(text, c, 1)
+                keys, text, is_open = _halves(runs, text, c).ravel(), np.repeat(text, 2), np.repeat(is_open, 2)
             else:
-                p = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                keys, is_open = _keyed(3, runs.of(p, RUN)), np.repeat(is_open, many) & runs.open_around(p, RUN)
+                many = high - low + 1
+                p, text, is_open = _ranges(low, many), np.repeat(text, many), np.repeat(is_open, many)
+                keys, is_open = _keyed(3, runs.of(text, p, RUN)), is_open & runs.open_around(text, p, RUN)
             there = keys != 0
-            ids.append(one)
-            found.append(np.unique(keys[there]).tobytes())
-            still.append(np.unique(keys[there & is_open]).tobytes())
-            if len(ids) == 1024:
-                yield _packed_keys(ids, found, still)
-                ids, found, still = [], [], []
-        yield _packed_keys(ids, found, still)
+            text, keys, is_open = _distinct(text[there], keys[there], is_open[there])
+            opened = np.bincount(text[is_open], minlength=len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(keys, np.bincount(text, minlength=len(ids))), pa.array(opened)], names=["id", "keys", "open"])
 
     return made
 
 
-def _packed_keys(ids: list[int], found: list[bytes], still: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()), pa.array(still, pa.binary())], names=["id", "keys", "open"])
-
-
 @trimmed
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The live runs of RUN with the tokens around them and, for each start up to the run, how far a passage covers them (from the run); empty where the text is not open."""
-    for one, runs, live, later in _runs_of(batches):
-        p = np.arange(runs.n - RUN + 1)
-        keys = _keyed(3, runs.of(p, RUN))
-        p = p[np.isin(keys, live)]
-        is_open = np.isin(keys[p], later) & runs.open_around(p, RUN)
-        for some in np.array_split(np.arange(len(p)), -(-len(p) // ROWS)):
-            at = p[some][:, None] + np.arange(-BESIDE, RUN + BESIDE)
-            inside = (at >= 0) & (at < runs.n)
-            # Places outside the text are unlike any others.
-            near = (np.where(inside, runs.values[np.clip(at, 0, runs.n - 1)], mix(at.view(U) + mix(np.full(1, one, np.int64).view(U)))) >> U(32)).astype("<u4")
-            reach = np.clip(runs.reach[np.clip(at[:, : BESIDE + 1], 0, runs.n - 1)] - p[some][:, None], -BESIDE - 1, COVERED).astype(np.int8)
+    for ids, runs, live, later in _runs_of(batches):
+        many = runs.end - runs.first - RUN + 1
+        text, p = np.repeat(np.arange(len(ids)), many), _ranges(runs.first, many)
+        keys = _keyed(3, runs.of(text, p, RUN))
+        there = live.has(text, keys)
+        text, p, keys = text[there], p[there], keys[there]
+        is_open = later.has(text, keys) & runs.open_around(text, p, RUN)
+        # Places that are alike make the same keys: one row stands for a loop. Those that reach beyond the text are unlike all others.
+        like = runs.of(text, p - BESIDE, RUN + 2 * BESIDE)
+        like = np.where(like != 0, like, mix(p.astype(U))) ^ live.salts[text]
+        for some in np.array_split(np.arange(len(p)), -(-len(p) // ROWS)) if len(p) else ():
+            _, first, alike = np.unique(like[some], return_index=True, return_inverse=True)
+            at = p[some][:, None] + np.arange(-BESIDE, 1)
+            reach = np.clip(runs.reach[np.maximum(at, runs.first[text[some]][:, None])] - p[some][:, None], -BESIDE - 1, COVERED).astype(np.int8)
             reach[~is_open[some]] = COVERED
-            # Places that are alike make the same keys: one row stands for a loop.
-            _, first, like = np.unique(near.view(np.dtype((np.void, near.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
             least = np.full((len(first), BESIDE + 1), COVERED, np.int8)
-            np.minimum.at(least, like.ravel(), reach)
-            columns = [pa.array(np.full(len(first), one)), pa.array(keys[p[some][first]].view(np.int64)), pa.array([x.tobytes() for x in near[first]], pa.binary()), pa.array([x.tobytes() if o else b"" for x, o in zip(least, (least < COVERED).any(axis=1))], pa.binary())]
+            np.minimum.at(least, alike.ravel(), reach)
+            own = some[first]
+            at = p[own][:, None] + np.arange(-BESIDE, RUN + BESIDE)
+            inside = (at >= runs.first[text[own]][:, None]) & (at < runs.end[text[own]][:, None])
+            # Places outside the text are unlike any others.
+            near = (np.where(inside, runs.values[np.clip(at, 0, len(runs.values) - 1)], mix(at.view(U) + mix(ids[text[own]].astype(np.int64).view(U))[:, None])) >> U(32)).astype("<u4")
+            opened = np.where((least < COVERED).any(axis=1), BESIDE + 1, 0)
+            columns = [pa.array(ids[text[own]]), pa.array(keys[own].view(np.int64)), _binary(near.ravel(), np.full(len(own), near.shape[1])), _binary(least[opened > 0].ravel(), opened)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "near", "reach"])
 
 
 def _firsts(ids: np.ndarray, near: np.ndarray, reach: np.ndarray, is_open: np.ndarray, powers: np.ndarray, inverses: np.ndarray) -> np.ndarray:
-    """Links (id, hub) between the texts with one run of RUN, by id: of each key of NEED tokens with that run as the longer one, open texts with the first."""
-    sums = np.concatenate((np.zeros((len(ids), 1), U), np.cumsum(mix(near.astype(U)) * powers[: near.shape[1]], axis=1, dtype=U)), axis=1)
-    links, own = [np.empty(0, np.int64)], np.flatnonzero(is_open)
+    """Links (id, hub) between the texts with a run of RUN, by run and id: of each key of NEED tokens with that run as the longer one, open texts with the first.
+
+    Rows of several runs can be given at once, since a key holds its run.
+    """
+    sums = np.zeros((near.shape[1] + 1, len(ids)), U)
+    np.cumsum(mix(near.T.astype(U)) * powers[: near.shape[1], None], axis=0, dtype=U, out=sums[1:])
+    links, own, reach = [np.empty(0, np.int64)], np.flatnonzero(is_open), np.ascontiguousarray(reach.T)
 
-    def run(start: int, length: int) -> np.ndarray:
+    def run(start: int, length: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         start += BESIDE
-        return (sums[:, start + length] - sums[:, start]) * inverses[start]
+        return (sums[start + length, rows] - sums[start, rows]) * inverses[start]
 
-    def join(keys: list[np.ndarray], ours: list[tuple[int, np.ndarray]]) -> None:
-        """keys: columns of a key for each text; ours: which of these are the text's own, and whether it is open there."""
-        if not any(still.any() for _, still in ours):
+    def join(made: Callable[[int, np.ndarray | slice], np.ndarray], gaps: list[int], ours: list[tuple[int, np.ndarray]]) -> None:
+        """made: the keys of texts with a gap; ours: the gaps that are the text's own, and the open texts there."""
+        if not any(len(mine) for _, mine in ours):
             return
-        table = np.stack(keys, axis=1)
-        known, at = np.unique(table, return_index=True)
-        for column, still in ours:
-            mine = own[still]
-            hub = at[np.searchsorted(known, table[mine, column])] // table.shape[1]
+        asked = [made(gap, mine) for gap, mine in ours]
+        wanted = np.unique(np.concatenate(asked))
+        hubs = np.full(len(wanted), len(ids))
+        for gap in gaps:
+            keys = made(gap, slice(None))
+            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+            there = np.flatnonzero(wanted[at] == keys)
+            np.minimum.at(hubs, at[there], there)
+        for (_, mine), keys in zip(ours, asked):
+            hub = hubs[np.searchsorted(wanted, keys)]
             links.append(np.unique((mine * len(ids) + hub)[ids[hub] < ids[mine]]))
 
     def still(start: int, length: int) -> np.ndarray:
-        return reach[:, start + BESIDE] < start + length - 1
+        return own[reach[start + BESIDE] < start + length - 1]
 
     for e in range(NEED - RUN + 1):
-        join([run(-e, NEED)], [(0, still(-e, NEED))])
+        join(lambda _, rows: run(-e, NEED, rows), [0], [(0, still(-e, NEED))])
     close = GAPS[:-1].tolist()  # within DRIFT of both OWN_GAPS, the last only of the longer
     far = [OWN_GAPS[1], int(GAPS[-1])]
     for e in range(NEED - RUN):
         more = NEED - RUN - e
         left, right = mix(run(-e, RUN + e)), mix(run(0, RUN + e))
         for gaps in (close, far):
-            join([mix(left + run(RUN + g, more)) for g in gaps], [(k, still(-e, NEED + g)) for k, g in enumerate(gaps) if g in OWN_GAPS])
-            join([mix(right + run(-g - more, more)) for g in gaps], [(k, still(-g - more, NEED + g)) for k, g in enumerate(gaps) if g in OWN_GAPS])
+            join(lambda g, rows: left[rows] + run(RUN + g, more, rows), gaps, [(g, still(-e, NEED + g)) for g in gaps if g in OWN_GAPS])
+            join(lambda g, rows: right[rows] + run(-g - more, more, rows), gaps, [(g, still(-g - more, NEED + g)) for g in gaps if g in OWN_GAPS])
     found = np.unique(np.concatenate(links))
     return np.stack([ids[found // len(ids)], ids[found % len(ids)]], axis=1)
 
@@ -351,7 +448,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def whole(held: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = held["key"].to_numpy()
-        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        edges = np.concatenate((np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        # About TOGETHER rows of whole keys at a time.
+        edges = np.concatenate(([0], edges[np.concatenate((np.diff(edges // TOGETHER) > 0, [True]))]))
         links = np.concatenate([linked(held.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:])])
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["id", "hub"])
 
@@ -375,10 +474,10 @@ def _spread_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """A row for each text and key."""
     for batch in batches:
         if batch.num_rows:
-            keys, still = ([np.frombuffer(x.as_py(), U) for x in batch.column(c)] for c in (1, 2))
-            ids = np.repeat(batch.column(0).to_numpy(), list(map(len, keys)))
-            is_open = np.concatenate([np.isin(k, s, assume_unique=True) for k, s in zip(keys, still)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys).view(np.int64)), pa.array(is_open)], names=["id", "key", "open"])
+            keys, many = _unpacked(batch.column(1), "<i8")
+            place = _ranges(np.zeros(len(many), np.int64), many)
+            is_open = place < np.repeat(batch.column(2).to_numpy(), many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(keys), pa.array(is_open)], names=["id", "key", "open"])
 
 
 def others(packed: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -392,7 +491,7 @@ def others(packed: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFra
     copies = packed.select("id", "digest").join(firsts, "digest").filter("id > hub").select("id", "hub")
     ranges = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("end"))).alias("ranges"))
     held = texts.join(ranges, texts["id"] == ranges["doc_id"], "left").select("id", "packed", "ranges")
-    short = packed.join(firsts, packed["id"] == firsts["hub"], "left_semi").select("id", F.col("short").alias("keys"), F.col("short").alias("open"))
+    short = packed.join(firsts, packed["id"] == firsts["hub"], "left_semi").select("id", F.col("short").alias("keys"), F.expr("cast(octet_length(short) / 8 as bigint)").alias("open"))
     made = cut(short)
     for level in range(1, 4):
         rows = made.mapInArrow(_spread_level, "id long, key long, open boolean")
@@ -400,14 +499,14 @@ def others(packed: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFra
         stars = rows.groupBy("key").agg(F.min("id").alias("first"), last, F.count(F.lit(1)).alias("many")).filter("first < last")
         if level == 3:
             stars = cut(stars)
-            few = rows.join(stars.filter(F.col("many") <= FEW), "key").groupBy("key").agg(F.collect_list(F.struct("id", "open")).alias("x"))  # FEW at most
+            few = rows.join(stars.filter(F.col("many") <= FEW).hint("shuffle_hash"), "key").groupBy("key").agg(F.collect_list(F.struct("id", "open")).alias("x"))  # FEW at most
             ends = few.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a.open and a.id > b.id")
             met = copies.union(ends.select(F.col("a.id").alias("id"), F.col("b.id").alias("hub")))
             stars = stars.filter(F.col("many") > FEW)
         later = F.when(F.col("open") & (F.col("id") > F.col("first")), F.col("key"))
-        live = rows.join(stars, "key").groupBy("id").agg(F.collect_list("key").alias("live"), F.collect_list(later).alias("later"))  # keys of one text
+        live = rows.join(stars.hint("shuffle_hash"), "key").groupBy("id").agg(F.collect_list("key").alias("live"), F.collect_list(later).alias("later"))  # keys of one text
         if level < 3:
-            made = cut(live.join(held, "id").mapInArrow(_level(level), "id long, keys binary, open binary"))
+            made = cut(live.join(held, "id").mapInArrow(_level(level), "id long, keys binary, open long"))
     around = live.join(held, "id").mapInArrow(_around, "id long, key long, near binary, reach binary")
     tied = cut(around.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_links, "id long, hub long").distinct())
     return _pairs(met.union(tied)).join(pairs, ["doc_id", "src_id"], "left_anti")
@@ -423,6 +522,15 @@ class Ranked:
         same = self.ranked[1:] == self.ranked[:-1]
         #: Which of the ranked tokens the text holds more than once.
         self.often = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(values) else np.zeros(0, bool)
+        self.last: tuple[np.ndarray | None, np.ndarray, np.ndarray] = (None, *[np.empty(0, np.int64)] * 2)
+
+    def met(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of another text's tokens that the text holds, and where these are first among the ranked; kept for the text last asked for."""
+        if self.last[0] is not own:
+            low = np.searchsorted(self.ranked, own)
+            here = np.flatnonzero(self.ranked[np.minimum(low, len(self.ranked) - 1)] == own)
+            self.last = own, here, low[here]
+        return self.last[1:]
 
 
 def diagonals(own: np.ndarray, earlier: Ranked) -> list[int]:
@@ -434,11 +542,9 @@ def diagonals(own: np.ndarray, earlier: Ranked) -> list[int]:
     if not len(own) or not len(earlier.values):
         return []
     order, ranked = earlier.order, earlier.ranked
-    low = np.searchsorted(ranked, own)
-    here = np.flatnonzero(ranked[np.minimum(low, len(ranked) - 1)] == own)
+    here, low = earlier.met(own)
     if len(here) < ON_DIAGONAL:
         return []
-    low = low[here]
     shifts = [order[low] - here]
     by_token = np.argsort(low, kind="stable")
     sorted_low = low[by_token]
@@ -474,24 +580,33 @@ def repeated(own: np.ndarray, prepared: Ranked, shifts: list[int], similarity: f
     if len(own) < width or len(earlier) < width:
         return []
     need = math.ceil(2 * width * similarity / (1 + similarity))
+    here, low = prepared.met(own)
+    if len(here) < need:
+        return []
     edge = np.zeros(len(own) + 1, np.int64)
+    # The place of a token that the earlier text has once tells its match; for the others all places within DRIFT are looked at.
+    places, several = prepared.order[low] - here, here[prepared.often[low]]
     # Tokens that the earlier text repeats over a whole stretch have no diagonal of their own.
     often = prepared.often
     cyclic = np.isin(own, prepared.ranked[often]) if often.sum() >= width else np.zeros(len(own), bool)
-    last = None
+    last, loops = None, cyclic.any()
     for shift in [None, *sorted(shifts)]:
         match = cyclic.copy()
         if shift is None:
-            if not cyclic.any():
+            if not loops:
                 continue
         elif last is not None and shift - last <= DRIFT // 2:
             continue
         else:
             last = shift
-            for k in range(shift - DRIFT, shift + DRIFT + 1):
-                low, high = max(0, -k), min(len(own), len(earlier) - k)
-                if low < high:
-                    match[low:high] |= own[low:high] == earlier[low + k : high + k]
+            near = np.abs(places - shift) <= DRIFT
+            if not loops and np.count_nonzero(near) + len(several) < need:
+                continue
+            match[here[near]] = True
+            if len(several):
+                at = several[:, None] + np.arange(shift - DRIFT, shift + DRIFT + 1)
+                same = (earlier[np.clip(at, 0, len(earlier) - 1)] == own[several][:, None]) & (at >= 0) & (at < len(earlier))
+                match[several] |= same.any(axis=1)
         total = np.concatenate(([0], np.cumsum(match)))
         good = np.flatnonzero(total[width:] - total[:-width] >= need)
         if not len(good):
@@ -521,26 +636,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hub, part and other, the hub's text (without other) first in its part -> passages."""
     unpack, hashes = zstandard.ZstdDecompressor(), WordHashes()
 
-    def of(packed: bytes) -> np.ndarray:
-        return (tokens(unpack.decompress(packed).split(), hashes) >> U(32)).astype("<u4")
+    def of(packed: list[bytes]) -> Iterator[np.ndarray]:
+        raws = [unpack.decompress(x) for x in packed]
+        for some in _some(raws):
+            values, first, count = _tokens_of(raws[some], hashes)
+            values = (values >> U(32)).astype("<u4")
+            yield from (values[a : a + n] for a, n in zip(first.tolist(), count.tolist()))
 
     held, its_text, its_tokens = None, b"", Ranked(np.empty(0, "<u4"))
     for batch in batches:
         rows = []
-        for hub, other, packed in zip(*(batch.column(c) for c in ("hub", "other", "packed"))):
-            hub, other, packed = hub.as_py(), other.as_py(), packed.as_py()
+        hubs, others, packed = (batch.column(c).to_pylist() for c in ("hub", "other", "packed"))
+        for hub, other, text, values in zip(hubs, others, packed, of(packed)):
             if other is None:
                 if hub != held:
-                    held, its_text, its_tokens = hub, packed, Ranked(of(packed))
+                    held, its_text, its_tokens = hub, text, Ranked(values.copy())
                 continue
             later, earlier = max(hub, other), min(hub, other)
-            if packed == its_text:
+            if text == its_text:
                 words = len(its_tokens.values) + SIZE - 1
                 if words >= MIN_WORDS:
                     rows.append((later, earlier, 0, words, words))
                 continue
-            values = of(packed)
             own, base = (values, its_tokens) if other == later else (its_tokens.values, Ranked(values))
+            if len(base.met(own)[0]) < NEED:
+                continue
             rows += [(later, earlier, start, end, end - start) for start, end in repeated(own, base, diagonals(own, base))]
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "src_id", "start_word", "end_word", "n_words"])
